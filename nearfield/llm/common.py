@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as a regular expression of Java and of DuckDB.
@@ -59,6 +59,25 @@ def discard(rows: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def running_start(rows: DataFrame, order: list[str], value: str, name: str, *, rows_each: int = 50_000) -> DataFrame:
+    """Adds bucket (ranges of the order) and the sum of value over all rows before, in ascending order.
+
+    Only one sum for each range meets in one place; ranges hold about rows_each rows.
+    """
+    spark = rows.sparkSession
+    rows = staged(rows, "unordered")
+    n = max(1, -(-rows.count() // rows_each))
+    ranged = staged(rows.repartitionByRange(n, *order).withColumn("bucket", F.spark_partition_id()), "ordered")
+    sums = ranged.groupBy("bucket").agg(F.sum(value).alias("_nf_sum")).collect()  # a row for each range
+    before, total = [], 0
+    for bucket, here in sorted(sums):
+        before.append((bucket, total))
+        total += here
+    offsets = spark.createDataFrame(before, "bucket int, _nf_before bigint")
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_nf_inside", inside).join(F.broadcast(offsets), "bucket").withColumn(name, F.col("_nf_inside") + F.col("_nf_before")).drop("_nf_inside", "_nf_before")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values."""
     x = np.asarray(x, np.uint64)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import exact_dedup, mixing, sharding
+from nearfield.llm import exact_dedup, mixing, sharding, token_counts, token_store, toxicity, vector_search
 
-NAMED = (exact_dedup.op1_exact_dedup, sharding.op5_sharding, mixing.op10_source_mixing)
+NAMED = (exact_dedup.op1_exact_dedup, token_counts.op2_token_counts, token_store.op4_token_store, sharding.op5_sharding, vector_search.op8_anisotropic_ann, toxicity.op9_toxicity, mixing.op10_source_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
