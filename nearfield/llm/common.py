@@ -78,6 +78,17 @@ def running_start(rows: DataFrame, order: list[str], value: str, name: str, *, r
     return ranged.withColumn("_nf_inside", inside).join(F.broadcast(offsets), "bucket").withColumn(name, F.col("_nf_inside") + F.col("_nf_before")).drop("_nf_inside", "_nf_before")
 
 
+def most_frequent(sums: DataFrame, count: str, size: int) -> DataFrame:
+    """The rows with the largest counts, at most size of them: all above a level that a histogram of the counts gives."""
+    at = F.floor(F.log2(count) * 8)
+    total, least = 0, None
+    for level, n in sums.groupBy(at.alias("level")).count().orderBy(F.desc("level")).collect():  # a few hundred levels
+        if total + n > size:
+            break
+        total, least = total + n, level
+    return sums.where(F.lit(False) if least is None else at >= least)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values."""
     x = np.asarray(x, np.uint64)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import components, documents, hash_words, mix, pieces_of, staged, text_bytes
+from nearfield.llm.common import components, documents, hash_words, mix, most_frequent, pieces_of, staged, text_bytes
 
 WORDS, NUMER, DENOM = 4, 85, 100
 ORDER_SIZE = 1 << 18
@@ -108,15 +108,7 @@ def describe(docs: DataFrame, words: int, min_count: int = 2) -> DataFrame:
 def global_order(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent of (a, n): sorted hashes and their counts, at most size of them."""
     sums = staged(counts.groupBy("a").agg(F.sum("n").alias("n")), "shingle-counts")
-    levels = sums.groupBy(F.floor(F.log2("n") * 4).alias("level")).count().orderBy(F.desc("level")).collect()
-    total, least = 0, None
-    for level, n in levels:
-        if total + n > size:
-            break
-        total, least = total + n, level
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    top = sums.where(F.floor(F.log2("n") * 4) >= least).toPandas()
+    top = most_frequent(sums, "n", size).toPandas()
     token, count = top["a"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(token)
     return token[order], count[order]
