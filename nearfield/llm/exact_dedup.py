@@ -43,6 +43,8 @@ def normalised() -> Column:
 
 def located(docs: DataFrame) -> DataFrame:
     """The rows with their locator; rows that come from no file are staged first."""
+    if set(PLACE) <= set(docs.columns):
+        return docs
     try:
         return docs.select("*", F.col("_metadata.file_path").alias("_nf_file"), F.col("_metadata.row_index").alias("_nf_row"))
     except AnalysisException:
@@ -83,7 +85,7 @@ def exact_dedup(docs: DataFrame, *, digest: Column | None = None, files_per_batc
     """
     spark = docs.sparkSession
     here = located(docs)
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", *PLACE)]
     sha = F.sha2(normalised().cast("binary"), 256)
     rows = here.select(F.struct(*others).alias("kept_columns"), F.col("doc_id"), *PLACE, F.unhex(sha).alias("sha"))
     rows = rows.withColumn("digest", F.col("sha") if digest is None else digest).withColumn("slot", F.lit(0))
@@ -96,7 +98,8 @@ def exact_dedup(docs: DataFrame, *, digest: Column | None = None, files_per_batc
         if others_match.limit(1).count() == 0:
             settled.append(joined)
             break
-        settled.append(joined.join(others_match.select(*PLACE), PLACE, "left_anti"))
+        same = staged(joined.join(others_match.select(*PLACE), PLACE, "left_anti"), "settled").drop("n")
+        settled.append(same.join(same.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), KEYS))
         rows = staged(rows.join(others_match.select(*PLACE), PLACE, "left_semi").withColumn("slot", F.col("slot") + 1).select(*rows.columns), "digests")
     out = settled[0]
     for more in settled[1:]:
@@ -124,10 +127,11 @@ def mismatches(here: DataFrame, joined: DataFrame, found: DataFrame) -> DataFram
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    found = exact_dedup(docs)
+    here = located(docs)
+    found = exact_dedup(here)
     lost = found.where(~F.col("kept")).select(*PLACE)
     small = lost.count() <= BROADCAST_HITS
-    return located(docs).join(F.broadcast(lost) if small else lost, PLACE, "left_anti").select(*docs.columns)
+    return here.join(F.broadcast(lost) if small else lost, PLACE, "left_anti").select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

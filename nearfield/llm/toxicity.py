@@ -117,11 +117,11 @@ def train(rows: list[np.ndarray], y: np.ndarray, *, alpha: float = ALPHA, beta:
     return Model(at, every[at], float(every[size]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs but text, and score."""
-    names = [c for c in docs.columns if c not in ("text", "score")]
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The columns of docs but text, and the score; a clashing column is overwritten."""
+    names = [c for c in docs.columns if c not in ("text", name)]
     kinds = {f.name: f.dataType for f in docs.schema}
-    schema = ", ".join([*(f"`{c.replace('`', '``')}` {kinds[c].simpleString()}" for c in names), "score double"])
+    schema = ", ".join([*(f"`{c.replace('`', '``')}` {kinds[c].simpleString()}" for c in names), f"{name} double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for part, rows in featured(batches):
             total = np.array([dense[r].sum(dtype=np.float64) for r in rows]) + (m.bias or 0.0)
             p = np.zeros(len(rows)) if m.bias is None else 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p)], names=[*names, name])
 
     return docs.select(*names, "text").mapInArrow(run, schema)
 
@@ -139,7 +139,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.
     """The documents that the model does not reject, with their columns."""
     model = fit(docs, labels)
     rows = docs.withColumn("_nf_text", F.col("text"))
-    kept = score(rows, model).where(F.col("score") < threshold)
+    kept = score(rows, model, "_nf_score").where(F.col("_nf_score") < threshold)
     return kept.select(*(F.col("_nf_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 
