@@ -102,9 +102,9 @@ class Codec:
 
         def pieces(h: Column, n: Column) -> Column:
             single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(h, i * 2 - 1, F.lit(2)))
-            start = let(single, lambda p: F.struct(p.alias("p"), self._pair_ranks(bound, p, n).alias("r")))
+            start = let(single, lambda p: self._aimed(F.struct(p.alias("p"), self._pair_ranks(bound, p, n).alias("r"))))
             steps = F.slice(F.sequence(F.lit(1), n), 2, n)
-            folded = F.aggregate(steps, start, lambda s, _: let(F.array_min(s["r"]), lambda least: F.when(least == NO_RANK, s).otherwise(self._merge(bound, s, least))))
+            folded = F.aggregate(steps, start, lambda s, _: F.when(s["least"] == NO_RANK, s).otherwise(self._merge(bound, s)))
             return F.transform(folded["p"], lambda x: self.ranks.get(bound, x))
 
         def encode(h: Column) -> Column:
@@ -116,22 +116,25 @@ class Codec:
     def _pair_ranks(self, bound: Column, p: Column, n: Column) -> Column:
         return F.transform(F.slice(p, 1, F.greatest(n - 1, F.lit(0))), lambda x, i: self.rank(bound, F.concat(x, F.get(p, i + 1))))
 
-    def _merge(self, bound: Column, s: Column, least: Column) -> Column:
-        """The state after the leftmost pair of that rank is one piece; only the ranks beside it are looked up."""
-        p, r = s["p"], s["r"]
-        none = F.array().cast("array<int>")
+    def _aimed(self, state: Column) -> Column:
+        """The state with the least rank and the place of its leftmost pair."""
 
-        def at(i: Column) -> Column:
-            def replaced(m: Column) -> Column:
-                left = F.when(i > 1, F.array(self.rank(bound, F.concat(F.get(p, i - 2), m)))).otherwise(none)
-                right = F.when(i < F.size(r), F.array(self.rank(bound, F.concat(m, F.get(p, i + 1))))).otherwise(none)
-                whole = F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p)))
-                ranks = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r)))
-                return F.struct(whole.alias("p"), ranks.alias("r"))
+        def aim(s: Column) -> Column:
+            least = F.coalesce(F.array_min(s["r"]), F.lit(NO_RANK))
+            return F.struct(s["p"].alias("p"), s["r"].alias("r"), least.alias("least"), F.coalesce(F.array_position(s["r"], least), F.lit(0)).cast("int").alias("i"))
 
-            return let(F.concat(F.get(p, i - 1), F.get(p, i)), replaced)
+        return let(state, aim)
 
-        return let(F.array_position(r, least).cast("int"), at)
+    def _merge(self, bound: Column, s: Column) -> Column:
+        """The state after the leftmost pair of the least rank is one piece; only the ranks beside it are looked up."""
+        p, r, i = s["p"], s["r"], s["i"]
+        none = F.array().cast("array<int>")
+        new = F.concat(F.get(p, i - 1), F.get(p, i))
+        left = F.when(i > 1, F.array(self.rank(bound, F.concat(F.get(p, i - 2), new)))).otherwise(none)
+        right = F.when(i < F.size(r), F.array(self.rank(bound, F.concat(new, F.get(p, i + 1))))).otherwise(none)
+        whole = F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p)))
+        ranks = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r)))
+        return self._aimed(F.struct(whole.alias("p"), ranks.alias("r")))
 
     def learn_head(self, texts: DataFrame, size: int = HEAD_WORDS) -> None:
         """Counts all words of texts(text) and folds the most frequent of the distinct ones once."""
