@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +90,28 @@ def most_frequent(sums: DataFrame, count: str, size: int) -> DataFrame:
     return sums.where(F.lit(False) if least is None else at >= least)
 
 
+class Recent(dict):
+    """A cache of two bounded generations: what was not asked for since the last turn is made anew."""
+
+    def __init__(self, make: Callable, limit: int, old: dict | None = None):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, old or {}
+
+    def __missing__(self, key):
+        value = dict.get(self.old, key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def turned(self) -> "Recent":
+        """This cache, or the next generation once it is full."""
+        if len(self) <= self.limit:
+            return self
+        self.old = {}
+        return Recent(self.make, self.limit, self)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values."""
     x = np.asarray(x, np.uint64)

@@ -3,15 +3,16 @@
 An Aho-Corasick automaton enumerates the vocabulary's matches that end at each character; the dynamic programme
 keeps only the best score and its number of pieces there. Rules are those of the unigram tokenizer: a character
 that is no piece costs the least score less 10 and falls back to its UTF-8 bytes; of equal scores the earlier
-start wins. Spaces become U+2581, one is put in front, and no piece crosses from another character to it, so a text
-is the sum of its words; each word is searched once for as long as it stays in a bounded cache. Line feeds are in
-no piece and separate words as well.
+start wins. Spaces become U+2581 and one is put in front. Where no piece goes on from another character into a space, a
+text is the sum of its words, each with the spaces before it; a word is searched once for as long as it stays in a
+bounded cache. Line feeds that are in no piece stand alone as well. Other vocabularies are searched text by text.
 
 A null or empty text has 0 tokens.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -19,13 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm.common import documents
+from nearfield.llm.common import Recent, documents
 
 SPACE = "▁"
 #: How much below the least score an unknown character lies (fixed value of the tokenizer).
 UNKNOWN_PENALTY = 10.0
-#: Words that a Python worker remembers; then it starts over.
-CACHE_WORDS = 300_000
+#: Words of one generation of a Python worker's cache.
+CACHE_WORDS = 600_000
+
+#: Runs of spaces with the word that follows; and the same where line feeds stand alone.
+_UNITS, _UNITS_AND_LINES = re.compile(" *[^ ]+| +"), re.compile(" +[^ \n]*|[^ \n]+|\n")
 
 Vocabulary = list[tuple[str, float]]
 
@@ -44,64 +48,68 @@ def load_vocabulary(path: str) -> tuple[Vocabulary, set[int]]:
     return pieces, fallback
 
 
-class Counter(dict):
-    """Pieces of a word, searched when first asked for."""
+class Counter:
+    """Pieces of words and texts."""
 
     def __init__(self, pieces: Vocabulary, fallback: set[int], least: float | None = None):
         import ahocorasick
 
-        super().__init__()
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = (min((s for _, s in pieces), default=0.0) if least is None else least) - UNKNOWN_PENALTY
         self.fallback = fallback
-        whole = dict(pieces)
-        # Words can be cut apart unless a piece with an inner space could win against its parts.
-        space = whole.get(SPACE, self.unknown)
-        self.separable = all(SPACE not in p[1:] or (set(p) == {SPACE} and s < space * len(p)) for p, s in pieces)
-        self.line_feeds = not any("\n" in p for p, _ in pieces)
-
-    def __missing__(self, word: str) -> int:
-        n = self.search(word if word.startswith("\n") and self.line_feeds else SPACE + word)[1]
-        self[word] = n
-        return n
+        # A text can be cut in front of each run of spaces unless a piece goes on there.
+        self.separable = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces)
+        self.words = Recent(self.word, CACHE_WORDS)
+        self.units = _UNITS if any("\n" in p for p, _ in pieces) else _UNITS_AND_LINES
+
+    def word(self, unit: str) -> int:
+        return self.search(unit.replace(" ", SPACE))[1]
 
     def search(self, text: str) -> tuple[float, int]:
         """Best score of the text as it stands, and the pieces of that best segmentation."""
         n = len(text)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, (length, score) in self.automaton.iter(text):
-            ends[end + 1].append((length, score))
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            top, top_length, single = None, 0, False
-            for length, score in ends[end]:
-                single |= length == 1
-                total = best[end - length] + score
-                if top is None or total > top or (total == top and length > top_length):
-                    top, top_length, pieces = total, length, 1
-            if not single:
-                total = best[end - 1] + self.unknown
-                if top is None or total > top:
-                    raw = text[end - 1].encode("utf-8", "surrogatepass")
-                    top, top_length, pieces = total, 1, len(raw) if self.fallback.issuperset(raw) else 1
-            best[end], count[end] = top, count[end - top_length] + pieces
+        best: list[float | None] = [None] * (n + 1)
+        count, start = [0] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        done = 0  # up to here every end is final
+        singles = bytearray(n + 1)
+        for last, (length, score) in self.automaton.iter(text):
+            end = last + 1
+            while done < last:  # ends that no further match reaches
+                done += 1
+                if not singles[done]:
+                    self._unknown(text, done, best, count)
+            begin = end - length
+            if length == 1:
+                singles[end] = 1
+            total = best[begin] + score
+            old = best[end]
+            if old is None or total > old or (total == old and begin < start[end]):
+                best[end], count[end], start[end] = total, count[begin] + 1, begin
+        while done < n:
+            done += 1
+            if not singles[done]:
+                self._unknown(text, done, best, count)
         return best[n], count[n]
 
+    def _unknown(self, text: str, end: int, best: list, count: list) -> None:
+        """Lets the character before end be unknown, if that is better."""
+        total = best[end - 1] + self.unknown
+        if best[end] is None or total > best[end]:
+            raw = text[end - 1].encode("utf-8", "surrogatepass")
+            best[end], count[end] = total, count[end - 1] + (len(raw) if self.fallback.issuperset(raw) else 1)
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
+        text = " " + text.replace(SPACE, " ")
         if not self.separable:
-            return self.search(SPACE + text.replace(" ", SPACE))[1]
-        text = text.replace(SPACE, " ")
-        if self.line_feeds:
-            text = text.replace("\n", " \n")
-        words = text.split(" ")
-        n = sum(map(self.__getitem__, words))
-        if len(self) > CACHE_WORDS:
-            self.clear()
+            return self.word(text)
+        n = sum(map(self.words.__getitem__, self.units.findall(text)))
+        self.words = self.words.turned()
         return n
 
 
