@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.llm.common import documents, running_start, scratch
+from nearfield.llm.common import Recent, documents, running_start, scratch
 
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 9, 128, 4096
-#: Words that a Python worker remembers; then it starts over.
+#: Words of one generation of a Python worker's cache.
 CACHE_WORDS = 300_000
 
 
@@ -89,7 +89,7 @@ def _byte_letters() -> list[str]:
 _LETTER_OF = dict(enumerate(_byte_letters()))
 
 
-class Encoder(dict):
+class Encoder:
     """Ids of a word as bytes. Words end at ASCII white space, which no token of the tokenizer crosses.
 
     Words of plain Latin letters are cut by the tokenizer's pattern here and their pieces given to its model;
@@ -99,34 +99,26 @@ class Encoder(dict):
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Recent(self.word, CACHE_WORDS), Recent(self.piece, CACHE_WORDS)
 
-    def __missing__(self, word: bytes) -> bytes:
+    def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if "<|" not in text and _PLAIN.fullmatch(text):
-            found = b"".join([self.pieces.get(p) or self.piece(p) for p in _PIECES.findall(text.lower())])
-        else:
-            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = found
-        return found
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def piece(self, piece: str) -> bytes:
         tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_LETTER_OF))
-        self.pieces[piece] = found = np.array([t.id for t in tokens], "<u4").tobytes()
-        return found
+        return np.array([t.id for t in tokens], "<u4").tobytes()
 
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
         tail = np.array([end_id], "<u4").tobytes()
         out = []
         for t in texts:
-            out.append(np.frombuffer(b"".join(map(self.__getitem__, t.split())) + tail, "<u4"))
-            if len(self) > CACHE_WORDS:
-                self.clear()
-            if len(self.pieces) > CACHE_WORDS:
-                self.pieces.clear()
+            out.append(np.frombuffer(b"".join(map(self.words.__getitem__, t.split())) + tail, "<u4"))
+            self.words, self.pieces = self.words.turned(), self.pieces.turned()
         return out
 
 
