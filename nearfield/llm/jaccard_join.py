@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import components, documents, hash_words, mix, most_frequent, pieces_of, staged, text_bytes
+from nearfield.llm.common import components, discard, documents, hash_words, mix, most_frequent, pieces_of, staged, text_bytes
 
 WORDS, NUMER, DENOM = 4, 85, 100
 ORDER_SIZE = 1 << 18
@@ -38,6 +38,8 @@ BUCKET_ENTRIES = 200_000
 #: Lists up to this length give all their pairs at once.
 SHORT = 4
 SKIP_BLOCK = 64
+#: Rounds in which each component verifies one pair.
+ROUNDS = 2
 #: Documents whose ids are sent to every task; beyond, texts are joined by shuffle.
 BROADCAST_IDS = 200_000
 _ROLL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -253,9 +255,9 @@ def remaining(entries: DataFrame, verified: DataFrame, labels: DataFrame, numer:
 
 
 def verify(docs: DataFrame, pairs: DataFrame, words: int, numer: int, denom: int) -> DataFrame:
-    """(a, b, overlap, linked) of each pair, from the whole sets of both."""
-    ids = staged(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
-    few = ids.count() <= BROADCAST_IDS
+    """The pairs (a, b and their labels la, lb) with overlap and linked, from the whole sets of both; written once, the sets are removed."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    few = 2 * pairs.count() <= BROADCAST_IDS
     needed = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,11 +277,63 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, numer: int, denom: int
                 n = int((t[at] == s).sum()) if len(t) else 0
                 both.append(n)
                 linked.append(n > 0 and denom * n >= numer * (len(s) + len(t) - n))
-            yield _batch("a b overlap linked", batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(linked, pa.bool_()))
+            yield _batch("a b la lb overlap linked", *(batch.column(c) for c in ("a", "b", "la", "lb")), pa.array(both, pa.int64()), pa.array(linked, pa.bool_()))
 
     x = every.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     y = every.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(y, "b").join(x, "a").mapInArrow(compare, "a bigint, b bigint, overlap bigint, linked boolean")
+    both = pairs.select("a", "b", "la", "lb").join(y, "b").join(x, "a")
+    out = staged(both.mapInArrow(compare, "a bigint, b bigint, la bigint, lb bigint, overlap bigint, linked boolean"), "verified")
+    discard(every)
+    return out
+
+
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose documents no chain of links connects yet, with both labels."""
+    x = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    y = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    rows = pairs.select("a", "b").join(x, "a", "left").join(y, "b", "left")
+    return rows.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la <> lb")
+
+
+def jumped(parents: DataFrame) -> DataFrame:
+    """(node, label): the end of each chain of parents (node, label), where labels are smaller than nodes."""
+    while True:
+        further = parents.select(F.col("node").alias("via"), F.col("label").alias("further"))
+        rows = staged(parents.join(further, parents.label == further.via, "left").select("node", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved")), "parents")
+        parents = rows.select("node", "label")
+        if rows.where("moved").limit(1).count() == 0:
+            return parents
+
+
+def connect(docs: DataFrame, pairs: DataFrame, labels: DataFrame, bound: tuple[int, int, int], rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The answers of the verified pairs, and the label of every document that is not the smallest of its component.
+
+    In each of the first rounds every component verifies one pair only, with the smallest component it may link to, so a
+    group of near copies becomes one component by about as many comparisons as it has members; then what still lies
+    across components is verified.
+    """
+    pending, answers = staged(pairs, "pending"), docs.sparkSession.createDataFrame([], "a bigint, b bigint, overlap bigint, linked boolean")
+    for number in range(rounds + 1):
+        pending = staged(across(pending, labels), "pending")
+        chosen = pending
+        if number < rounds:
+            one = F.min_by(F.struct("a", "b", "la", "lb"), F.struct(F.least("la", "lb"), "a", "b")).alias("x")
+            chosen = staged(pending.groupBy(F.greatest("la", "lb").alias("g")).agg(one).select("x.*"), "chosen")
+        if chosen.count() == 0:
+            break
+        got = verify(docs, chosen, *bound)
+        answers = answers.unionAll(got.select(*answers.columns))
+        steps = got.where("linked").select(F.greatest("la", "lb").alias("node"), F.least("la", "lb").alias("label"))
+        if steps.limit(1).count():
+            if number < rounds:
+                roots = jumped(steps)  # one smaller parent each
+            else:
+                roots = components(steps.select(F.col("node").alias("a"), F.col("label").alias("b"))).where("node <> label")
+            up = roots.select(F.col("node").alias("via"), F.col("label").alias("root"))
+            moved = labels.join(up, labels.label == up.via, "left").select("node", F.coalesce("root", "label").alias("label"))
+            labels = staged(moved.unionAll(roots), "labels")
+        pending = pending.select("a", "b").join(chosen.select("a", "b"), ["a", "b"], "left_anti")
+    return answers, labels
 
 
 def jaccard_components(docs: DataFrame, *, words: int = WORDS, numer: int = NUMER, denom: int = DENOM) -> DataFrame:
@@ -295,15 +349,13 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, numer: int = NUME
     # Equal sets are links that need no list.
     same = sizes.where("n > 0 and doc_id is not null")
     least = same.groupBy("n", "a", "b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").withColumnsRenamed({"n": "_n", "a": "_a", "b": "_b"})
-    copies = same.join(least, (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).where("doc_id <> first").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
-    first = staged(verify(docs, found.where("kind = 0").select("a", "b").distinct(), words, numer, denom), "verified")
-    links = first.where("linked").select("a", "b").unionAll(copies.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    labels = components(links)
-    more = staged(remaining(found.where("kind = 1"), first, labels, numer, denom), "remaining")
-    if more.limit(1).count():
-        second = staged(verify(docs, more, words, numer, denom), "verified").where("linked").select("a", "b")
-        if second.limit(1).count():
-            labels = components(links.unionAll(second))
+    copies = same.join(least, (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).where("doc_id <> first")
+    labels = staged(copies.select(F.col("doc_id").alias("node"), F.col("first").alias("label")).groupBy("node").agg(F.min("label").alias("label")), "labels")
+    bound = (words, numer, denom)
+    answers, labels = connect(docs, found.where("kind = 0").select("a", "b").distinct(), labels, bound, ROUNDS)
+    more = remaining(found.where("kind = 1"), answers, labels, numer, denom)
+    _, labels = connect(docs, more, labels, bound, min(ROUNDS, 1))
+    discard(found)
     out = sizes.join(labels, sizes["doc_id"] == labels["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
