@@ -36,7 +36,7 @@ from nearfield.llm.common import documents, hash_words, mix, most_frequent, piec
 LIMIT = 5
 HEAD = 1 << 18
 #: Events of a bucket.
-BUCKET_EVENTS = 3_000_000
+BUCKET_EVENTS = 2_000_000
 #: A history with more than this share of a bucket is split by word.
 HOT = 0.25
 #: Tokens counted together in a task.
@@ -173,7 +173,7 @@ def events(rows: DataFrame, head, hot: np.ndarray, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hot_words = shared.value
         for batch in batches:
-            for part in pieces_of(batch):
+            for part in pieces_of(batch, 4 << 20):
                 token, history, doc = tokens_of(part)
                 bucket = mix(history) % np.uint64(buckets)
                 if len(hot_words):
@@ -227,7 +227,7 @@ def counted(packed: DataFrame, head, hot: np.ndarray, hot_counts: np.ndarray, un
         h, w, key, train, rare = h[by], w[by], key[by], train[by], rare[by]
         new_h = np.append(True, h[1:] != h[:-1])
         new_pair = new_h | np.append(True, w[1:] != w[:-1])
-        pair = np.cumsum(new_pair) - 1
+        pair = (np.cumsum(new_pair) - 1).astype(np.int32)
         at = np.flatnonzero(new_pair)
         c = np.add.reduceat(train.astype(np.int64), at)  # of each pair
         group = np.cumsum(new_h[at]) - 1  # history of each pair
@@ -247,7 +247,7 @@ def counted(packed: DataFrame, head, hot: np.ndarray, hot_counts: np.ndarray, un
         mass = np.stack([np.add.reduceat((c == r).astype(np.int64), g_at) for r in range(1, LIMIT + 1)] + [np.add.reduceat(np.where(c > LIMIT, c, 0), g_at)], axis=1)
         p_seen = np.add.reduceat(np.where(seen, p1, 0.0), g_at)
         # Events of texts.
-        e_c, e_ch = c[pair], c_h[group][pair]
+        e_c, e_ch = c.astype(np.int32)[pair], c_h[group][pair]
         e_seen = e_c > 0
         logs = np.where(e_seen, np.log10(np.maximum(e_c, 1)) - np.log10(np.maximum(e_ch, 1)), 0.0)
         logs += np.where(~e_seen & ~rare, np.log10(np.where(p1 > 0, p1, 1.0))[pair], 0.0)
