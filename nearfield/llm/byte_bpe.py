@@ -1,12 +1,13 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-A text is cut by the tokenizer's pattern. A word is an array of byte pieces (as hexadecimal text); a fold over its
-length merges, at each step, the leftmost adjacent pair of the least rank, looked up in a literal rank map, until no
-pair has a rank. The ids of a word are the ranks of its pieces. Decoding concatenates the pieces of the ids.
+A text is cut by the tokenizer's pattern. A word is an array of its bytes' ids, each with the rank of its pair with the
+next; a fold over its length merges, at each step, the leftmost adjacent pair of the least rank, found in a literal rank
+map (a perfect hash over pairs of ids), until no pair has a rank. Decoding concatenates the binary pieces of the ids.
 
-The distinct words of all texts are counted; the most frequent ones (at most HEAD_WORDS) are folded once and their
-ids put into a second literal map, so most words of a text are one lookup; all others are folded where they stand.
-So the documents themselves never move. The literal maps are arrays of small maps by hash: a lookup reads one.
+The distinct words of all texts are counted; the most frequent ones (at most HEAD_WORDS, a bound on what goes to every
+task) are folded once and their ids put into a second literal map, so most words of a text are one lookup; all others are
+folded where they stand. So the documents themselves never move. A word of n bytes takes up to n merges of up to n steps:
+words of many kilobytes without a space are slow, never wrong.
 
 A null or empty text has no ids.
 """
@@ -14,17 +15,20 @@ A null or empty text has no ids.
 from __future__ import annotations
 
 import base64
+import itertools
 import json
+import math
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import documents, most_frequent, staged, text_of
 
-HEAD_WORDS = 1 << 16
-NO_RANK = (1 << 31) - 1
+HEAD_WORDS = 1 << 19
+#: Pieces up to which a merge is one pass over the word's array; beyond, whole runs are copied.
+SHORT_WORD = 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,112 +61,179 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-class LiteralMap:
-    """A map as one literal of the plan, for strings: an array of maps by hash."""
+def literal(value: list, kind: str) -> Column:
+    """A list as one literal of the plan."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
 
-    def __init__(self, spark: SparkSession, entries: dict[str, object], kind: str):
-        n = 1
-        while n < len(entries):
-            n *= 2
-        self.size = n
-        rows = spark.createDataFrame([(k,) for k in entries], "k string").select("k", self._slot(F.col("k"))).collect() if entries else []
-        slots: list[dict | None] = [None] * n
-        for key, at in rows:
-            slots[at] = {**(slots[at] or {}), key: entries[key]}
-        self.literal = F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), f"array<map<string,{kind}>>")
 
-    def _slot(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.size)).cast("int")
+def primes_from(n: int) -> Iterator[int]:
+    return (x for x in itertools.count(max(2, n)) if all(x % p for p in range(2, math.isqrt(x) + 1)))
 
-    def get(self, bound: Column, key: Column) -> Column:
-        """The value, null where there is none; bound is the literal, bound once by let: each mention of it would be a copy in the plan."""
-        return F.try_element_at(F.get(bound, self._slot(key)), key)
 
+class RankMap:
+    """The rank of each pair of pieces, as literal arrays, and the folds over them.
 
-class Codec:
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
-        self.spark = spark
-        self.pattern = java_pattern(spark, pattern)
-        self.ranks = LiteralMap(spark, {k.hex().upper(): v for k, v in ranks.items()}, "int")
-        names = [""] * (max(ranks.values(), default=-1) + 1)
-        for k, v in ranks.items():
-            names[v] = k.hex().upper()
-        self.names = F.from_json(F.lit(json.dumps(names)), "array<string>")
-        self.little_endian = F.from_json(F.lit(json.dumps([i.to_bytes(4, "little").hex().upper() for i in range(len(names))])), "array<string>")
-        self.head: LiteralMap | None = None
+    A pair (a, b) of piece ids is the number a * width + b. Its bucket is that modulo one prime; the bucket's shift, added
+    to the number modulo another, is the pair's cell (a perfect hash), which holds the pair and its rank.
 
-    def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
+    A word in the fold is one array<bigint>: for each piece, from the highest bits down, the rank of its pair with the next
+    piece (`none` where there is none), the place of its first byte, and its id. So the least element is the leftmost pair
+    of the least rank, and the id of a merged piece is that rank.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.width = max(ranks.values(), default=-1) + 1
+        self.bits = (self.width + 1).bit_length()
+        self.none, self.top = (1 << self.bits) - 1, 63 - self.bits
+        pairs = [(a * self.width + b, rank) for piece, rank in ranks.items() for a, b in cuts(piece, ranks)]
+        self.cells = next(primes_from(len(pairs) * 4 // 3 + 2))
+        self.buckets = next(p for p in primes_from(max(len(pairs) // 4, self.width**2 // self.cells) + 2) if p != self.cells)
+        held: dict[int, list[tuple[int, int]]] = {}
+        for key, rank in pairs:
+            held.setdefault(key % self.buckets, []).append((key, rank))
+        shifts, keys, found = [0] * self.buckets, [-1] * self.cells, [self.none] * self.cells
+        for bucket, entries in sorted(held.items(), key=lambda x: (-len(x[1]), x[0])):
+            shift = next(s for s in range(self.cells) if all(keys[(key + s) % self.cells] < 0 for key, _ in entries))
+            shifts[bucket] = shift
+            for key, rank in entries:
+                at = (key + shift) % self.cells
+                keys[at], found[at] = key, rank
+        single = [ranks.get(bytes([i])) for i in range(256)]
+        rank_of = lambda a, b: ranks.get(bytes([a, b]), self.none)
+        start = [None if single[a] is None else (rank_of(a, b) << self.top) + single[a] for a in range(256) for b in range(256)]
+        last = [None if x is None else (self.none << self.top) + x for x in single]
+        lists = {"shifts": shifts, "keys": keys, "ranks": [r << self.top for r in found], "start": start, "last": last}
+        self.maps = F.struct(*(literal(x, "array<bigint>").alias(name) for name, x in lists.items()))
+
+    def rank(self, maps: Column, a: Column, b: Column) -> Column:
+        """The rank of a pair in its place in an element; `none` also where b is null."""
+
+        def find(key: Column) -> Column:
+            at = ((key + F.get(maps["shifts"], (key % self.buckets).cast("int"))) % self.cells).cast("int")
+            return F.when(F.get(maps["keys"], at) == key, F.get(maps["ranks"], at)).otherwise(big(self.none << self.top))
+
+        return let(a * big(self.width) + b, find)
+
+    def id(self, element: Column) -> Column:
+        return element.bitwiseAND(big(self.none))
+
+    def ids(self, maps: Column, word: Column) -> Column:
+        """The ids of one word by the fold of ranked merges."""
+        codes = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
+        place = lambda i: i.cast("bigint") * big(1 << self.bits)
+        first = let(codes, lambda c: F.transform(c, lambda x, i: F.coalesce(F.get(maps["start"], x * 256 + F.get(c, i + 1)), F.get(maps["last"], x)) + place(i)))
+
+        def fold(start: Column) -> Column:
+            def step(s: Column) -> Column:
+                merge = lambda m: F.when(F.size(s) <= SHORT_WORD, self._in_one_pass(maps, s, m)).otherwise(self._spliced(maps, s, m))
+                return let(F.array_min(s), lambda m: F.when(m >= big(self.none << self.top), s).otherwise(merge(m)))
+
+            return F.aggregate(F.slice(start, 2, F.size(start)), start, lambda s, _: step(s), lambda s: F.transform(s, lambda x: self.id(x).cast("int")))
 
-    def rank(self, bound: Column, piece: Column) -> Column:
-        return F.coalesce(self.ranks.get(bound, piece), F.lit(NO_RANK))
+        return let(first, fold)
 
-    def merged(self, bound: Column, word: Column) -> Column:
-        """The ids of one word by the fold of ranked merges; bound is the rank map."""
+    def _merged(self, maps: Column, least: Column, after: Column) -> Column:
+        """The element of the merged piece, before the piece after it."""
+        new = F.shiftright(least, self.top)
+        return self.rank(maps, new, self.id(after)) + least.bitwiseAND(big((1 << self.top) - 1 - self.none)) + new
 
-        def pieces(h: Column, n: Column) -> Column:
-            single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(h, i * 2 - 1, F.lit(2)))
-            start = let(single, lambda p: self._aimed(F.struct(p.alias("p"), self._pair_ranks(bound, p, n).alias("r"))))
-            steps = F.slice(F.sequence(F.lit(1), n), 2, n)
-            folded = F.aggregate(steps, start, lambda s, _: F.when(s["least"] == NO_RANK, s).otherwise(self._merge(bound, s)))
-            return F.transform(folded["p"], lambda x: self.ranks.get(bound, x))
+    def _before(self, maps: Column, least: Column, element: Column) -> Column:
+        """The element of the piece before the merged one."""
+        return self.rank(maps, self.id(element), F.shiftright(least, self.top)) + element.bitwiseAND(big((1 << self.top) - 1))
 
-        def encode(h: Column) -> Column:
-            n = (F.length(h) / 2).cast("int")
-            return let(self.ranks.get(bound, h), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(pieces(h, n)))
+    def _in_one_pass(self, maps: Column, s: Column, least: Column) -> Column:
+        """One merge of a short word: its piece, the one before and the one swallowed, found by the least element."""
+        gone = big(-1)
+        new = F.transform(s, lambda x, i: F.when(x == least, self._merged(maps, least, F.get(s, i + 2))).when(F.get(s, i + 1) == least, self._before(maps, least, x)).when(F.get(s, i - 1) == least, gone).otherwise(x))
+        return F.array_remove(new, gone)
 
-        return let(F.hex(word), encode)
+    def _spliced(self, maps: Column, s: Column, least: Column) -> Column:
+        """One merge of a long word, by copies of whole runs."""
 
-    def _pair_ranks(self, bound: Column, p: Column, n: Column) -> Column:
-        return F.transform(F.slice(p, 1, F.greatest(n - 1, F.lit(0))), lambda x, i: self.rank(bound, F.concat(x, F.get(p, i + 1))))
+        def at(i: Column) -> Column:
+            merged = F.array(self._merged(maps, least, F.get(s, i + 1)))
+            left = F.when(i > 1, F.concat(F.slice(s, F.lit(1), i - 2), F.array(self._before(maps, least, F.get(s, i - 2))), merged)).otherwise(merged)
+            return F.concat(left, F.slice(s, i + 2, F.size(s)))
 
-    def _aimed(self, state: Column) -> Column:
-        """The state with the least rank and the place of its leftmost pair."""
+        return let(F.array_position(s, least).cast("int"), at)
 
-        def aim(s: Column) -> Column:
-            least = F.coalesce(F.array_min(s["r"]), F.lit(NO_RANK))
-            return F.struct(s["p"].alias("p"), s["r"].alias("r"), least.alias("least"), F.coalesce(F.array_position(s["r"], least), F.lit(0)).cast("int").alias("i"))
 
-        return let(state, aim)
+def big(n: int) -> Column:
+    return F.lit(n).cast("bigint")
 
-    def _merge(self, bound: Column, s: Column) -> Column:
-        """The state after the leftmost pair of the least rank is one piece; only the ranks beside it are looked up."""
-        p, r, i = s["p"], s["r"], s["i"]
-        none = F.array().cast("array<int>")
-        new = F.concat(F.get(p, i - 1), F.get(p, i))
-        left = F.when(i > 1, F.array(self.rank(bound, F.concat(F.get(p, i - 2), new)))).otherwise(none)
-        right = F.when(i < F.size(r), F.array(self.rank(bound, F.concat(new, F.get(p, i + 1))))).otherwise(none)
-        whole = F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p)))
-        ranks = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r)))
-        return self._aimed(F.struct(whole.alias("p"), ranks.alias("r")))
+
+def cuts(piece: bytes, ranks: dict[bytes, int]) -> Iterator[tuple[int, int]]:
+    """The ids of all pairs of pieces that make this one."""
+    for i in range(1, len(piece)):
+        a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
+        if a is not None and b is not None:
+            yield a, b
+
+
+class Codec:
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
+        self.spark = spark
+        self.pattern = java_pattern(spark, pattern)
+        self.ranks = RankMap(ranks)
+        names = [""] * (max(ranks.values(), default=-1) + 1)
+        for k, v in ranks.items():
+            names[v] = k.decode("latin-1")
+        self.names = literal(names, "array<string>")
+        self.little_endian = literal([i.to_bytes(4, "little").decode("latin-1") for i in range(len(names))], "array<string>")
+        self.head: tuple[Column, Column, int] | None = None
+
+    def words(self, text: Column) -> Column:
+        return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
     def learn_head(self, texts: DataFrame, size: int = HEAD_WORDS) -> None:
         """Counts all words of texts(text) and folds the most frequent of the distinct ones once."""
         each = texts.select(F.explode(self.words(text_of())).alias("word"))
         sums = staged(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "bpe-words")
-        top = most_frequent(sums, "n", size).select("word")
-        rows = top.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions"))).select("word", let(self.ranks.literal, lambda bound: self.merged(bound, F.col("word"))).alias("ids")).collect()  # at most size rows
-        self.head = LiteralMap(self.spark, {r["word"]: list(r["ids"]) for r in rows}, "array<int>")
+        top = most_frequent(sums, "n", size).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        ids = let(self.ranks.maps, lambda maps: self.ranks.ids(maps, F.col("word")))
+        rows = top.select("word", "n", F.xxhash64("word").alias("hash"), ids.alias("ids")).collect()  # at most size rows
+        cells = 2
+        while cells < 2 * len(rows):
+            cells *= 2
+        keys: list[str | None] = [None] * cells
+        values: list[list[int] | None] = [None] * cells
+        for r in sorted(rows, key=lambda r: (-r["n"], r["hash"])):
+            free = [at for at in (r["hash"] & (cells - 1), (r["hash"] >> 32) & (cells - 1)) if keys[at] is None]
+            if free:  # a word without a free cell is folded where it stands
+                keys[free[0]], values[free[0]] = r["word"], r["ids"]
+        self.head = literal(keys, "array<string>"), literal(values, "array<array<int>>"), cells
 
     def encode(self, text: Column) -> Column:
         """array<int> of the ids of a text."""
         words = self.words(text)
 
-        def folded(bound: Column) -> Column:
+        def each(maps: Column) -> Column:
             if self.head is None:
-                return F.transform(words, lambda w: self.merged(bound, w))
-            head = self.head
-            return let(head.literal, lambda known: F.transform(words, lambda w: let(head.get(known, w), lambda ids: F.when(ids.isNotNull(), ids).otherwise(self.merged(bound, w)))))
+                return F.transform(words, lambda w: self.ranks.ids(maps, w))
+            keys, values, cells = self.head
 
-        return F.flatten(let(self.ranks.literal, folded))
+            def known(table: Column, w: Column) -> Column:
+                first = F.xxhash64(w).bitwiseAND(F.lit(cells - 1)).cast("int")
+                second = F.shiftright(F.xxhash64(w), 32).bitwiseAND(F.lit(cells - 1)).cast("int")
+                found = F.when(F.get(table["k"], first) == w, F.get(table["v"], first)).when(F.get(table["k"], second) == w, F.get(table["v"], second))
+                return found.otherwise(self.ranks.ids(maps, w))
+
+            return let(F.struct(keys.alias("k"), values.alias("v")), lambda table: F.transform(words, lambda w: known(table, w)))
+
+        return F.flatten(let(self.ranks.maps, each))
 
     def binary(self, ids: Column) -> Column:
         """The ids as little-endian unsigned 32-bit integers."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.little_endian, i)), ""))
+        return self._joined(self.little_endian, ids)
 
     def decode(self, ids: Column) -> Column:
         """The bytes of the ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.names, i)), ""))
+        return self._joined(self.names, ids)
+
+    def _joined(self, pieces: Column, ids: Column) -> Column:
+        """The concatenation of the ids' binary pieces, each held as the characters U+0000 to U+00FF."""
+        joined = let(pieces, lambda bound: F.array_join(F.transform(ids, lambda i: F.get(bound, i)), ""))
+        return F.encode(joined, "ISO-8859-1")
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, head_words: int = HEAD_WORDS) -> tuple[DataFrame, Codec]:
