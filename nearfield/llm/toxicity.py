@@ -5,9 +5,9 @@ adjacent pairs and of its pairs one word apart, each in its own part of the hash
 learning rate for each coordinate and sets to 0 what L1 does not let through, so the weights that go to the
 executors are few. Texts are scored whole, in blocks of bounded memory.
 
-The model is fitted on the driver, on a bounded sample of labelled rows: the TRAIN_ROWS with the smallest hash
-of doc_id whose text has at most TRAIN_BYTES bytes, leaving out held-out rows. A text without features scores by
-the bias alone. Without labels (or with one class only) every score is 0.0.
+The model is fitted on the driver, on a bounded sample of labelled rows: of the TRAIN_ROWS labelled identifiers with the
+smallest hash, leaving out held-out ones, those whose texts together keep within TRAIN_BYTES, taken in hash order. A text
+without features scores by the bias alone. Without labels (or with one class only) every score is 0.0.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from nearfield.llm.common import documents, hash_words, mix, pieces_of, text_byt
 WORD_BITS, PAIR_BITS = 21, 20
 SPACE_SIZE = (1 << WORD_BITS) + (2 << PAIR_BITS)
 TRAIN_ROWS = 12_000
-TRAIN_BYTES = 65_536
+TRAIN_BYTES = 64 << 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 6.0, 1.0
 #: How many times the penalty of a word a pair's is: there are many more of them.
@@ -71,21 +72,32 @@ def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield part, [features(words[a:b]) for a, b in zip(first[:-1], first[1:])]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, folds: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, folds: int = 5) -> Model:
     """The model learned from labels (doc_id, toxic) of rows that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (held_out(F.col("doc_id"), folds) != 0))
     chosen = known.select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
-    # A bounded number of ids and labels goes to every task.
-    sample = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id")
+    # A bounded number of ids and labels goes to every task, and one sum for each comes back.
+    texts = docs.select("doc_id", "text")
+    sizes = texts.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).join(F.broadcast(chosen), "doc_id")
+    sums = sizes.groupBy("doc_id", "toxic").agg(F.sum("size").alias("size")).collect()
+    room, picked = most_bytes, []
+    for r in sorted(sums, key=lambda r: (int(mix(np.array([r["doc_id"]], np.int64).view(np.uint64))[0]), r["toxic"])):
+        if r["size"] <= room:
+            room -= r["size"]
+            picked.append((r["doc_id"], r["toxic"]))
+    sample = texts.join(F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id bigint, toxic int")), "doc_id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
         for part, rows_ in featured(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([r.astype(np.int32).tobytes() for r in rows_], pa.binary())], names=["doc_id", "toxic", "features"])
+            packed = [packer.compress(np.diff(r, prepend=0).astype(np.int32).tobytes()) for r in rows_]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "features"])
 
-    found = sample.mapInArrow(extract, "doc_id bigint, toxic int, features binary").collect()
-    spread = mix(np.array([r[0] for r in found], np.int64).view(np.uint64))
-    found = [found[i] for i in np.lexsort(([r[1] for r in found], spread))]
-    return train([np.frombuffer(r[2], np.int32) for r in found], np.array([float(r[1] != 0) for r in found]))
+    unpack = zstandard.ZstdDecompressor()
+    place = {x: i for i, x in enumerate(picked)}
+    found = [(place[r[0], r[1]], int(r[1] != 0), bytes(r[2])) for r in sample.mapInArrow(extract, "doc_id bigint, toxic int, features binary").toLocalIterator()]
+    found.sort()
+    return train([np.frombuffer(unpack.decompress(x), np.int32).cumsum(dtype=np.int32) for _, _, x in found], np.array([float(y) for _, y, _ in found]))
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, *, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS) -> Model:
@@ -93,15 +105,12 @@ def train(rows: list[np.ndarray], y: np.ndarray, *, alpha: float = ALPHA, beta:
         return Model(np.zeros(0, np.int64), np.zeros(0), None)
     size = SPACE_SIZE
     z, n = np.zeros(size + 1), np.zeros(size + 1)  # the last is the bias
-    penalty = np.full(size + 1, l1)
-    penalty[1 << WORD_BITS :] *= PAIR_PENALTY
-    penalty[size] = 0.0
     balance = {1.0: 0.5 / y.mean(), 0.0: 0.5 / (1 - y.mean())}  # both classes weigh the same
 
     def weights(at: np.ndarray) -> np.ndarray:
-        zz = z[at]
-        w = -(zz - np.sign(zz) * penalty[at]) / ((beta + np.sqrt(n[at])) / alpha + l2)
-        return np.where(np.abs(zz) > penalty[at], w, 0.0)
+        zz, penalty = z[at], np.where(at < 1 << WORD_BITS, l1, np.where(at < size, l1 * PAIR_PENALTY, 0.0))
+        w = -(zz - np.sign(zz) * penalty) / ((beta + np.sqrt(n[at])) / alpha + l2)
+        return np.where(np.abs(zz) > penalty, w, 0.0)
 
     for _ in range(epochs):
         for row, label in zip(rows, y):
@@ -112,9 +121,10 @@ def train(rows: list[np.ndarray], y: np.ndarray, *, alpha: float = ALPHA, beta:
             grown = np.sqrt(n[at] + g * g)
             z[at] += g - (grown - np.sqrt(n[at])) / alpha * w
             n[at] += g * g
-    every = weights(np.arange(size + 1))
-    at = np.flatnonzero(every[:size])
-    return Model(at, every[at], float(every[size]))
+    touched = np.flatnonzero(n[:size])
+    parts = [(at, weights(at)) for at in np.array_split(touched, max(1, len(touched) >> 18))]
+    at, weight = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+    return Model(at[weight != 0], weight[weight != 0], float(weights(np.array([size]))[0]))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

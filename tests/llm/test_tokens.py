@@ -14,6 +14,8 @@ from nearfield.llm import byte_bpe, token_counts, token_store
 from .helpers import ODD, table
 
 ROWS = [r for r in ODD if r[0] != 2]
+#: One word, longer than what a merge takes in one pass.
+LONG_WORD = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(6000))
 
 
 @pytest.fixture(scope="module")
@@ -74,7 +76,7 @@ def reference_bpe(ranks):
 
 @pytest.mark.parametrize("head", [0, 8])
 def test_bpe_matches_the_library(spark, ranks, reference_bpe, head):
-    rows = [r for r in ROWS if r[0] not in (8, 9)] + [(20, "y" * 150 + "  　z <|endoftext|>"), (21, "ࡰ \U00010570x ˀ")]
+    rows = [*ROWS, (20, "y" * 150 + "  　z <|endoftext|>"), (21, "ࡰ \U00010570x ˀ"), (22, LONG_WORD), (23, "é" * 47 + " " + "ab" * 24 + " " + "abc" * 17)]
     docs = table(spark, rows).withColumn("ids", F.lit("clash"))
     out, codec = byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, head_words=head)
     got = out.select("doc_id", "ids", codec.binary(F.col("ids")).alias("raw"), codec.decode(F.col("ids")).alias("back")).collect()
