@@ -19,7 +19,7 @@ import itertools
 import json
 import math
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,7 +63,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def literal(value: list, kind: str) -> Column:
     """A list as one literal of the plan."""
-    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
+    return listed(map(json.dumps, value), kind)
+
+
+def listed(value: Iterable[str], kind: str) -> Column:
+    """The same of elements in JSON."""
+    return F.from_json(F.lit(f"[{','.join(value)}]"), kind)
 
 
 def primes_from(n: int) -> Iterator[int]:
@@ -191,17 +196,19 @@ class Codec:
         sums = staged(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "bpe-words")
         top = most_frequent(sums, "n", size).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         ids = let(self.ranks.maps, lambda maps: self.ranks.ids(maps, F.col("word")))
-        rows = top.select("word", "n", F.xxhash64("word").alias("hash"), ids.alias("ids")).collect()  # at most size rows
+        rows = top.select("word", "n", F.xxhash64("word").alias("hash"), F.to_json(ids).alias("ids")).toArrow()  # at most size rows
         cells = 2
-        while cells < 2 * len(rows):
+        while cells < 2 * rows.num_rows:
             cells *= 2
-        keys: list[str | None] = [None] * cells
-        values: list[list[int] | None] = [None] * cells
-        for r in sorted(rows, key=lambda r: (-r["n"], r["hash"])):
-            free = [at for at in (r["hash"] & (cells - 1), (r["hash"] >> 32) & (cells - 1)) if keys[at] is None]
-            if free:  # a word without a free cell is folded where it stands
-                keys[free[0]], values[free[0]] = r["word"], r["ids"]
-        self.head = literal(keys, "array<string>"), literal(values, "array<array<int>>"), cells
+        rows = rows.sort_by([("n", "descending"), ("hash", "ascending")])
+        hashes = rows.column("hash").to_numpy()
+        places = zip((hashes & (cells - 1)).tolist(), ((hashes >> 32) & (cells - 1)).tolist())
+        keys, values = ["null"] * cells, ["null"] * cells
+        for (first, second), word, found in zip(places, rows.column("word").to_pylist(), rows.column("ids").to_pylist()):
+            at = first if keys[first] == "null" else second
+            if keys[at] == "null":  # a word without a free cell is folded where it stands
+                keys[at], values[at] = json.dumps(word), found
+        self.head = listed(keys, "array<string>"), listed(values, "array<array<int>>"), cells
 
     def encode(self, text: Column) -> Column:
         """array<int> of the ids of a text."""
