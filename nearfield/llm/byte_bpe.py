@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import documents, most_frequent, staged, text_of
 
-HEAD_WORDS = 1 << 19
+HEAD_WORDS = 1 << 18
 #: Pieces up to which a merge is one pass over the word's array; beyond, whole runs are copied.
 SHORT_WORD = 48
 
