@@ -5,16 +5,19 @@ sequence; no words: the empty set, linked with nothing). Two documents link when
 at least numer / denom. Rows of a null doc_id link with nothing; rows of one doc_id count as one node.
 
 1. Order. Shingles that occur more than once in a task's block of texts are counted; those with the largest sums
-   (at most ORDER_SIZE, the only thing that is broadcast here) come last in the global order, by count, all others
-   by hash. Any order gives the same links; this one keeps common passages out of the prefixes.
+   (at most ORDER_SIZE) come last in the global order, by count, all others by hash. Any order gives the same links;
+   this one keeps common passages out of the prefixes.
 2. Index. By the prefix principle, similar sets share a shingle among the first n - ceil(t n) + 1. Those are packed
-   into buckets of index lists. Lists skip whole blocks of entries whose least position already fails the bound on
-   the overlap that a shared shingle at two positions leaves (index-level skipping).
+   into buckets of index lists. Equal sets are one class; of the HEAVY classes with the most documents only the first
+   document is indexed, of others one for each task. Lists skip whole blocks of entries whose least position already
+   fails the bound on the overlap that a shared shingle at two positions leaves (index-level skipping).
 3. Answers. In a long list only the pairs of a leader and its members are verified first. For two members y, z of a
    leader x, the overlap is at most min(|xy|, |xz|) + min(|y| - |xy|, |z| - |xz|): so their answers follow from the
-   leader's (answer-level skipping), and only pairs that this bound allows and that no chain of links connects yet
-   are verified. Every link between documents of different components is thus found; pairs within a component are
-   not enumerated.
+   leader's (answer-level skipping). What this bound allows and no chain of links connects yet must also pass a bound
+   from sketches: a set's sketch holds, for each place, whether an odd number of its shingles fall there, so two sketches
+   differ in at most as many places as the sets do. Only what is left is verified. Long lists are dealt out by bands of
+   set sizes. Every link between documents of different components is thus found; pairs within a component are not
+   enumerated.
 4. Verification ships each needed set once for each pair and compares whole sets.
 """
 
@@ -40,6 +43,8 @@ SHORT = 4
 SKIP_BLOCK = 64
 #: Rounds in which each component verifies one pair.
 ROUNDS = 2
+#: Classes of equal sets that are sent to every task.
+HEAVY = 1 << 14
 #: Documents whose ids are sent to every task; beyond, texts are joined by shuffle.
 BROADCAST_IDS = 200_000
 _ROLL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -77,8 +82,17 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names.split())
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles by their low bits: at least 64 places, and half as many as shingles."""
+    places = 64
+    while 2 * places < len(s):
+        places *= 2
+    odd = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
 def describe(docs: DataFrame, words: int, min_count: int = 2) -> DataFrame:
-    """Two kinds of rows: of each document its set's size and digest (kind 0), and repeated shingles with their count (kind 1)."""
+    """Two kinds of rows: of each document its set's size, digest and sketch (kind 0), and repeated shingles with their count (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -90,13 +104,13 @@ def describe(docs: DataFrame, words: int, min_count: int = 2) -> DataFrame:
                 many = count >= min_count
                 token, count = token[many].view(np.int64), count[many].astype(np.int64)
                 if len(token):
-                    yield _batch("kind doc_id n a b", np.ones(len(token), np.int32), pa.nulls(len(token), pa.int64()), count, token, np.zeros(len(token), np.int64))
+                    yield _batch("kind doc_id n a b sketch", np.ones(len(token), np.int32), pa.nulls(len(token), pa.int64()), count, token, np.zeros(len(token), np.int64), pa.nulls(len(token), pa.binary()))
 
         for part, sets in shingle_sets(batches, words):
             size = np.array([len(s) for s in sets], np.int64)
             a = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            b = np.array([mix(s ^ _ROLL[1]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            yield _batch("kind doc_id n a b", np.zeros(len(sets), np.int32), part.column("doc_id"), size, a, b)
+            b = np.array([second_digest(s) for s in sets], np.uint64).view(np.int64)
+            yield _batch("kind doc_id n a b sketch", np.zeros(len(sets), np.int32), part.column("doc_id"), size, a, b, pa.array([sketch(s) for s in sets], pa.binary()))
             held += sets
             n += int(size.sum())
             if n >= COUNT_BLOCK:
@@ -104,7 +118,11 @@ def describe(docs: DataFrame, words: int, min_count: int = 2) -> DataFrame:
                 held, n = [], 0
         yield from counted()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id bigint, n bigint, a bigint, b bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id bigint, n bigint, a bigint, b bigint, sketch binary")
+
+
+def second_digest(s: np.ndarray) -> np.uint64:
+    return mix(s ^ _ROLL[1]).sum(dtype=np.uint64)
 
 
 def global_order(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,12 +134,16 @@ def global_order(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], count[order]
 
 
-def index_entries(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], buckets: int, words: int, numer: int, denom: int) -> DataFrame:
-    """Packed entries (token, doc_id, set size, position) of every set's prefix, by bucket. A task emits equal sets once for each block of texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+def index_entries(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], heavy: dict, buckets: int, words: int, numer: int, denom: int) -> DataFrame:
+    """Packed entries (token, doc_id, set size, position) of every set's prefix, by bucket.
+
+    heavy: the first document of each large class by its two digests and size. A task emits other equal sets once for
+    each block of texts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((*order, heavy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, count = shared.value
+        common, count, first_of = shared.value
         seen: set[bytes] = set()
         for part, sets in shingle_sets(batches, words):
             tokens, ids, sizes, places = [], [], [], []
@@ -129,6 +151,9 @@ def index_entries(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], buckets
                 n = len(s)
                 if n == 0 or doc_id is None:
                     continue
+                many = first_of.get(int(s.sum(dtype=np.uint64)))
+                if many is not None and doc_id != many.get((n, int(second_digest(s))), doc_id):
+                    continue
                 head = s.tobytes() if n < 4 else s[[0, 1, n // 2, -1]].tobytes() + bytes(str((n, int(s.sum(dtype=np.uint64)))), "ascii")
                 if head in seen:
                     continue
@@ -216,41 +241,78 @@ def allowed(size_a: np.ndarray, place_a: np.ndarray, size_b: np.ndarray, place_b
     return (denom * small >= numer * large) & (left >= least_overlap(size_a, size_b, numer, denom))
 
 
-def remaining(entries: DataFrame, verified: DataFrame, labels: DataFrame, numer: int, denom: int) -> DataFrame:
-    """Pairs (a, b) of long lists that the leaders' answers neither connect nor exclude."""
+def size_bands(numer: int, denom: int, top: int) -> np.ndarray:
+    """First sizes of the bands: sets that link lie in one band or in neighbouring ones."""
+    edges = [1]
+    while edges[-1] <= top:
+        edges.append(edges[-1] * denom // numer + 1)
+    return np.array(edges, np.int64)
+
+
+def banded(entries: DataFrame, numer: int, denom: int, top: int) -> DataFrame:
+    """Entries with the band in which they are the smaller set of a pair (own) and the one below, where they are only the larger."""
+    edges = F.array(*(F.lit(int(x)) for x in size_bands(numer, denom, top)))  # some tens
+    own = F.size(F.filter(edges, lambda x: x <= F.col("size")))
+    both = F.explode(F.array(F.struct(own.alias("band"), F.lit(True).alias("own")), F.struct((own - 1).alias("band"), F.lit(False).alias("own"))))
+    return entries.withColumn("x", both).select(*entries.columns, "x.band", "x.own")
+
+
+def remaining(entries: DataFrame, verified: DataFrame, labels: DataFrame, sketches: DataFrame, numer: int, denom: int) -> DataFrame:
+    """Pairs (a, b) of long lists that neither the leaders' answers nor the sketches connect or exclude."""
+    top = entries.agg(F.max("size")).first()[0] or 1
     overlap = verified.select("a", "b", "overlap")
     both = overlap.unionAll(overlap.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap"))
     rows = entries.join(labels.select(F.col("node").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     mixed = rows.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
-    rows = rows.join(mixed, "list", "left_semi").join(both, ["a", "b"], "left")
+    rows = rows.join(mixed, "list", "left_semi").join(both, ["a", "b"], "left").join(sketches, "b", "left")
     # A leader's own overlap is its size; a member whose pair was not worth verifying has no known overlap.
     rows = rows.withColumn("overlap", F.when(F.col("a") == F.col("b"), F.col("size").cast("bigint")).otherwise(F.coalesce("overlap", F.lit(-1))))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "ascending"), ("place", "ascending"), ("b", "ascending")])
         lead, doc, size, place, label, overlap = (table.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "size", "place", "label", "overlap"))
+        raw, own = table.column("sketch").to_pylist(), table.column("own").to_numpy(zero_copy_only=False)
+        width = np.array([len(x or b"") // 8 for x in raw])
+        # Sketches of each width, also those of twice the width folded to it.
+        at_width = {}
+        for w in np.unique(width[width > 0]):
+            same, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+            wide = np.frombuffer(b"".join(raw[i] for i in twice), np.uint64).reshape(len(twice), 2 * w)
+            rows_ = np.concatenate([np.frombuffer(b"".join(raw[i] for i in same), np.uint64).reshape(len(same), w), wide[:, :w] ^ wide[:, w:]])
+            row_of = np.full(len(raw), -1)
+            row_of[np.concatenate([same, twice])] = np.arange(len(rows_))
+            at_width[w] = rows_, row_of
         out = []
         starts = np.arange(0, len(doc), SKIP_BLOCK)
         least = np.minimum.reduceat(place, starts)
-        for i in range(len(doc)):
-            stop = np.searchsorted(size, denom * size[i] // numer, "right")
+        ends = np.minimum(starts + SKIP_BLOCK, len(doc))
+        for i in np.flatnonzero(own):
+            stop = int(np.searchsorted(size, denom * size[i] // numer, "right"))
             if stop <= i + 1:
                 continue
-            for k in range((i + 1) // SKIP_BLOCK, -(-stop // SKIP_BLOCK)):
-                lo, hi = max(i + 1, starts[k]), min(stop, starts[k] + SKIP_BLOCK)
-                if size[hi - 1] - least[k] < least_overlap(size[i], size[lo], numer, denom):
-                    continue  # even the entry with the least position leaves too little
-                j = np.arange(lo, hi)
-                ok = (label[j] != label[i]) & allowed(size[i], place[i], size[j], place[j], numer, denom)
-                known = (lead[j] == lead[i]) & (overlap[j] >= 0) & (overlap[i] >= 0)
-                most = np.minimum(overlap[i], overlap[j]) + np.minimum(size[i] - overlap[i], size[j] - overlap[j])
-                ok &= ~known | (most >= least_overlap(size[i], size[j], numer, denom))
-                ok &= (lead[i] != doc[j]) & (lead[j] != doc[i]) | ~known
-                out += [(min(doc[i], doc[x]), max(doc[i], doc[x])) for x in j[ok]]
+            blocks = np.arange((i + 1) // SKIP_BLOCK, -(-stop // SKIP_BLOCK))
+            # A block is skipped if even its entry with the least position leaves too little.
+            blocks = blocks[size[np.minimum(ends[blocks], stop) - 1] - least[blocks] >= least_overlap(size[i], size[np.maximum(starts[blocks], i + 1)], numer, denom)]
+            j = (starts[blocks][:, None] + np.arange(SKIP_BLOCK)).ravel()
+            j = j[(j > i) & (j < stop)]
+            j = j[label[j] != label[i]]
+            j = j[allowed(size[i], place[i], size[j], place[j], numer, denom)]
+            if not len(j):
+                continue
+            known = (lead[j] == lead[i]) & (overlap[j] >= 0) & (overlap[i] >= 0)
+            most = np.minimum(overlap[i], overlap[j]) + np.minimum(size[i] - overlap[i], size[j] - overlap[j])
+            ok = ~known | (most >= least_overlap(size[i], size[j], numer, denom))
+            j = j[ok & ((lead[i] != doc[j]) & (lead[j] != doc[i]) | ~known)]
+            if len(j) and width[i]:
+                rows_, row_of = at_width[width[i]]
+                differ = np.bitwise_count(rows_[row_of[j]] ^ rows_[row_of[i]]).sum(axis=1, dtype=np.int64)
+                j = j[(row_of[j] < 0) | ((size[i] + size[j] - differ) // 2 >= least_overlap(size[i], size[j], numer, denom))]
+            out += [(min(doc[i], x), max(doc[i], x)) for x in doc[j].tolist()]
         found = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
-    pairs = rows.select("list", "a", "b", "size", "place", "label", "overlap").groupBy("list").applyInArrow(run, "a bigint, b bigint")
+    rows = banded(rows.select("list", "a", "b", "size", "place", "label", "overlap", "sketch"), numer, denom, top)
+    pairs = rows.groupBy("list", "band").applyInArrow(run, "a bigint, b bigint")
     return pairs.distinct().join(verified, ["a", "b"], "left_anti")
 
 
@@ -332,7 +394,7 @@ def connect(docs: DataFrame, pairs: DataFrame, labels: DataFrame, bound: tuple[i
             up = roots.select(F.col("node").alias("via"), F.col("label").alias("root"))
             moved = labels.join(up, labels.label == up.via, "left").select("node", F.coalesce("root", "label").alias("label"))
             labels = staged(moved.unionAll(roots), "labels")
-        pending = pending.select("a", "b").join(chosen.select("a", "b"), ["a", "b"], "left_anti")
+        pending = across(pending, labels).select("a", "b").join(chosen.select("a", "b"), ["a", "b"], "left_anti")
     return answers, labels
 
 
@@ -342,18 +404,25 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, numer: int = NUME
     described = staged(describe(docs, words), "sets")
     sizes = described.where("kind = 0").select("doc_id", "n", "a", "b")
     order = global_order(described.where("kind = 1").select("a", "n"), ORDER_SIZE)
-    per_doc = F.expr(f"n - (({numer} * n + {denom - 1}) div {denom}) + 1")
-    entries = sizes.where("n > 0").agg(F.sum(per_doc)).first()[0] or 0
-    buckets = max(8, -(-entries // BUCKET_ENTRIES))
-    found = staged(lists_of(index_entries(docs, order, buckets, words, numer, denom), numer, denom), "lists")
     # Equal sets are links that need no list.
     same = sizes.where("n > 0 and doc_id is not null")
     least = same.groupBy("n", "a", "b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").withColumnsRenamed({"n": "_n", "a": "_a", "b": "_b"})
+    least = staged(least, "classes")
+    heavy: dict[int, dict] = {}
+    for r in most_frequent(least, "rows", HEAVY).collect():
+        heavy.setdefault(r["_a"] % (1 << 64), {})[r["_n"], r["_b"] % (1 << 64)] = r["first"]
     copies = same.join(least, (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).where("doc_id <> first")
     labels = staged(copies.select(F.col("doc_id").alias("node"), F.col("first").alias("label")).groupBy("node").agg(F.min("label").alias("label")), "labels")
+    per_doc = F.expr(f"n - (({numer} * n + {denom - 1}) div {denom}) + 1")
+    entries = sizes.where("n > 0").agg(F.sum(per_doc)).first()[0] or 0
+    buckets = max(8, -(-entries // BUCKET_ENTRIES))
+    found = staged(lists_of(index_entries(docs, order, heavy, buckets, words, numer, denom), numer, denom), "lists")
     bound = (words, numer, denom)
     answers, labels = connect(docs, found.where("kind = 0").select("a", "b").distinct(), labels, bound, ROUNDS)
-    more = remaining(found.where("kind = 1"), answers, labels, numer, denom)
+    # A doc_id with several sets has no sketch, so nothing is excluded by it.
+    one = (F.min("n") == F.max("n")) & (F.min("a") == F.max("a")) & (F.min("b") == F.max("b"))
+    sketches = described.where("kind = 0 and doc_id is not null").groupBy("doc_id").agg(F.when(one, F.max("sketch")).alias("sketch")).withColumnRenamed("doc_id", "b")
+    more = remaining(found.where("kind = 1"), answers, labels, sketches, numer, denom)
     _, labels = connect(docs, more, labels, bound, min(ROUNDS, 1))
     discard(found)
     out = sizes.join(labels, sizes["doc_id"] == labels["node"], "left")
