@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from nearfield.database import queries_of
 from nearfield.functions.vectors import checked
 from nearfield.operators import evaluate, flat, hnsw, segments, sq8
+from nearfield.sources.shared import staged
 
 K, CAPACITY, STRIDE = 10, 100, 50
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,7 +148,7 @@ def recall_sq8(spark: SparkSession, d: str) -> DataFrame:
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list]:
     a = _assigned(spark, d)
-    return a, hnsw.build(a), queries_of(query_set(a))
+    return a, staged(hnsw.build(a), "segments", **hnsw.WRITE), queries_of(query_set(a))
 
 
 def hnsw_exhaustive(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +171,7 @@ def hnsw_reachable(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hnsw_levels(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d)[1].groupBy("segment_id", F.col("level").cast("bigint").alias("level")).agg(F.count(F.lit(1)).alias("nodes"))
+    return hnsw.nodes(_graph(spark, d)[1]).groupBy("segment_id", F.col("level").cast("bigint").alias("level")).agg(F.count(F.lit(1)).alias("nodes"))
 
 
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:

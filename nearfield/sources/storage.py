@@ -37,20 +37,26 @@ class Store:
             stream.close()
 
     def commit(self, manifest: dict) -> None:
-        """Replaces the manifest: a temporary file, then one rename over the old one."""
-        text = json.dumps(manifest, indent=1)
-        temp = self._path(f".{MANIFEST}.{uuid.uuid4().hex}.tmp")
-        self._fs.mkdirs(self._path())
-        out = self._fs.create(temp, True)
+        """Replaces the manifest."""
+        self.replace(json.dumps(manifest, indent=1).encode(), MANIFEST)
+
+    def write_bytes(self, raw: bytes, *parts: str) -> None:
+        out = self._fs.create(self._path(*parts), True)
         try:
-            out.write(bytearray(text.encode()))
+            for at in range(0, len(raw), 1 << 24):
+                out.write(bytearray(raw[at : at + (1 << 24)]))
         finally:
             out.close()
+
+    def replace(self, raw: bytes, name: str) -> None:
+        """Writes a file by a temporary one and one rename over the old one."""
+        temp = f".{name}.{uuid.uuid4().hex}.tmp"
+        self.write_bytes(raw, temp)
         options = self._jvm.org.apache.hadoop.fs.Options.Rename
         over = self.spark.sparkContext._gateway.new_array(options, 1)
         over[0] = options.OVERWRITE
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        context.rename(temp, self._fs.makeQualified(self._path(MANIFEST)), over)
+        context.rename(self._path(temp), self._fs.makeQualified(self._path(name)), over)
 
     def manifest(self) -> dict:
         """The checked manifest; RuntimeError where it is missing or malformed."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearfield.database import Database
 from nearfield.operators import evaluate, flat, hnsw, segments
-from nearfield.sources import binary
+from nearfield.sources import binary, collection, shared
 
 
 def vectors(spark, n, dim=4, start=0):
@@ -52,7 +52,7 @@ def test_ordinals_are_dense_over_many_partitions(spark):
 def test_graph_frames(spark):
     x = np.random.RandomState(2).normal(size=(120, 8)).astype(np.float32)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "user_id bigint, embedding array<float>")
-    nodes = hnsw.build(segments.assign(rows, 50)).cache()
+    nodes = shared.staged(hnsw.build(segments.assign(rows, 50)), "test", **hnsw.WRITE)
     assert tuple(hnsw.invariants(nodes).first()) == (0, 0, 0)
     assert all(r["nodes"] == r["reached"] for r in hnsw.reachable(nodes).collect())
     q = [(i, x[i]) for i in range(5)]
@@ -144,7 +144,7 @@ def test_binary_files(spark, tmp_path):
     ints = rows.select("offset", F.array(F.col("offset").cast("int"), F.lit(7)).alias("embedding"))
     ints.orderBy("offset").write.format("ivecs").mode("append").save(str(tmp_path / "i"))
     assert sorted(spark.read.format("ivecs").load(str(tmp_path / "i")).collect()) == sorted(ints.collect())
-    nodes = hnsw.build(segments.assign(vectors(spark, 30), 30)).select("offset", "level", "entry", "links")
+    nodes = hnsw.nodes(hnsw.build(segments.assign(vectors(spark, 30), 30))).select("offset", "level", "entry", "links")
     top = nodes.where("entry").first()
     nodes.orderBy("offset").write.format("graphbin").options(m=16, max_level=top["level"], entry_point=top["offset"]).mode("append").save(str(tmp_path / "g"))
     assert sorted(spark.read.format("graphbin").load(str(tmp_path / "g")).collect()) == sorted(nodes.collect())
@@ -164,3 +164,79 @@ def test_streaming_ingest(spark, tmp_path):
     db = Database(spark, 4, 5)
     ingest(stream, db, str(tmp_path / "checkpoint")).awaitTermination()
     assert db.size == 8 and found(db.search([7, 0, 0, 0], 1)) == [(7, 0.0)]
+
+
+def test_large_tables_keep_every_row(spark, tmp_path):
+    """More rows a range than the sampler takes, from several files, with the embedding kept."""
+    rows = spark.range(100_000).select((F.col("id") * 37 % 100_003).alias("user_id"), F.array(F.col("id").cast("float"), F.lit(0.0).cast("float")).alias("embedding"))
+    rows.repartition(7).write.parquet(str(tmp_path / "in"))
+    placed = segments.assign(spark.read.parquet(str(tmp_path / "in")), 1000)
+    n, distinct, last, size = placed.agg(F.count("embedding"), F.countDistinct("ordinal"), F.max("ordinal"), F.max(F.size("embedding"))).first()
+    assert (n, distinct, last, size) == (100_000, 100_000, 99_999, 2)
+    assert placed.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"), F.max("offset").alias("o")).where("n <> 1000 or o <> 999").count() == 0
+
+
+def test_insert_keeps_every_row(spark, tmp_path):
+    rows = spark.range(6000).select(F.col("id").alias("user_id"), F.array((F.col("id") % 97).cast("float"), F.col("id").cast("float")).alias("embedding")).repartition(5)
+    db = Database(spark, 2, 500, str(tmp_path / "db"), build_params=hnsw.HnswBuildParams(4, 10))
+    db.insert(rows.where("user_id < 5700"))
+    db.insert(rows.where("user_id >= 5700"))
+    assert (db.size, db.segment_count) == (6000, 12)
+    assert db.vectors().distinct().count() == 6000 and db.ids().where("segment_id is not null").groupBy("segment_id").count().where("count <> 500").count() == 0
+    assert db.get(3) == [3.0, 3.0] and db.get(5999) == [82.0, 5999.0] and db.get(6000) is None
+    assert db.get_at(2, 7) == [37.0, 1007.0] and db.get_at(2, 500) is None and db.get_at(99, 0) is None
+    assert len([p for p in os.listdir(tmp_path / "db") if p.startswith("batch")]) == 1  # the rows that are active
+    plan = hnsw.search([(0, [1.0, 1.0])], db.segments(), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")  # only what the segments found moves
+
+
+def test_binary_collection_round_trip(spark, tmp_path):
+    x = np.random.RandomState(6).normal(size=(230, 8)).astype(np.float32)
+    rows = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "user_id bigint, embedding array<float>")
+    db = Database(spark, 8, 100)
+    db.insert(rows)
+    at = str(tmp_path / "binary")
+    db.export_binary(at)
+    assert sorted(os.listdir(f"{at}/segment_2")) >= ["hnsw.bin"] and json.loads(open(f"{at}/segments.json").read())["segment_count"] == 3
+    binary.register(spark)
+    assert spark.read.format("vecbin").load(f"{at}/segment_1/vectors.bin").count() == 100
+    again = Database.import_binary(spark, at, str(tmp_path / "db"))
+    assert (again.size, again.segment_count, again.dimensions) == (230, 4, 8)
+    q = [(i, x[i]) for i in range(6)]
+    exact = flat.knn_batch(spark.createDataFrame([(i, v.tolist()) for i, v in q], "query_id bigint, q array<float>"), rows, 5)
+    assert sorted(again.search_batch(q, 5).collect()) == sorted(exact.collect())
+    assert Database.load(spark, str(tmp_path / "db")).size == 230
+    with pytest.raises(RuntimeError):
+        db.export_binary(at)
+    for damage in (lambda p: p.unlink(), lambda p: p.write_bytes(p.read_bytes()[:40]), lambda p: p.write_bytes(b"xxxx" + p.read_bytes()[4:])):
+        for crc in (tmp_path / "binary").glob("segment_0/.*.crc"):
+            crc.unlink()
+        damage(tmp_path / "binary" / "segment_0" / "hnsw.bin")
+        with pytest.raises(Exception, match="missing|truncated|magic|shorter"):
+            Database.import_binary(spark, at)
+        other = Database(spark, 8, 100)
+        other.insert(rows)
+        import shutil
+
+        shutil.rmtree(at)
+        other.export_binary(at)
+    registry = tmp_path / "binary" / "segments.json"
+    good = json.loads(registry.read_text())
+    for change in ({"format_version": 2}, {"dim": 9}, {"segment_count": 4}, {"m": -1}):
+        registry.write_text(json.dumps({**good, **change}))
+        for crc in (tmp_path / "binary").glob(".segments.json.crc"):
+            crc.unlink()
+        with pytest.raises(Exception, match="segments.json|missing|dimension|version"):
+            Database.import_binary(spark, at)
+    assert collection.REGISTRY == "segments.json"
+
+
+def test_bulk_insert_and_searches(spark, tmp_path):
+    """Many rows of 128 dimensions into several segments, then many searches: recall against the exact scan."""
+    x = np.random.RandomState(8).uniform(-1, 1, (2000, 128)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "user_id bigint, embedding array<float>")
+    db = Database(spark, 128, 500)
+    db.insert(rows)
+    q = [(i, x[i] + 0.01) for i in range(100)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in q], "query_id bigint, q array<float>")
+    assert evaluate.mean_recall(db.search_batch(q, 10), flat.knn_arrow(spark, frame, rows, 10), 10) > 0.95
