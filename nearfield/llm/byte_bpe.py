@@ -6,7 +6,8 @@ map (a perfect hash over pairs of ids), until no pair has a rank. Decoding conca
 
 The distinct words of all texts are counted; the most frequent ones (at most HEAD_WORDS, a bound on what goes to every
 task) are folded once and their ids put into a second literal map, so most words of a text are one lookup; all others are
-folded where they stand. So the documents themselves never move. A word of n bytes takes up to n merges of up to n steps:
+folded where they stand. So the documents themselves never move. Both maps are
+literals of the plan in Spark's own binary arrays, so a task reads each in one piece. A word of n bytes takes up to n merges of up to n steps:
 words of many kilobytes without a space are slow, never wrong.
 
 A null or empty text has no ids.
@@ -16,11 +17,13 @@ from __future__ import annotations
 
 import base64
 import itertools
-import json
 import math
+import re
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,30 +56,55 @@ def java_pattern(spark: SparkSession, pattern: str) -> str:
     pattern = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\p{{IsWhite_Space}}\p{{L}}\p{{N}}{new['L']}{new['N']}]")
     for kind in "LN":
         pattern = pattern.replace(rf" ?\p{{{kind}}}+", rf" ?[\p{{{kind}}}{new[kind]}]+")
+    letters = rf" ?[\p{{L}}{new['L']}]+|"
+    before, _, after = pattern.partition(letters)
+    if after and re.fullmatch(r"('[a-z]+\|)*", before):  # these begin with an apostrophe, so the order is free: letters first are found faster
+        pattern = letters + before + after
     return pattern.replace(r"\S", r"\P{IsWhite_Space}").replace(r"\s", r"\p{IsWhite_Space}")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """The body with value computed once: expressions inside lambdas are not shared otherwise."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def let(value: Column, body: Callable[[Column], Column], kind: str) -> Column:
+    """The body, of that type, with value computed once: expressions inside lambdas are not shared otherwise."""
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
 
 
-def literal(value: list, kind: str) -> Column:
-    """A list as one literal of the plan."""
-    return listed(map(json.dumps, value), kind)
+def lets(values: list[Column], body: Callable[..., Column], kind: str) -> Column:
+    """The same for several values."""
+    if not values:
+        return body()
+    return let(values[0], lambda x: lets(values[1:], lambda *more: body(x, *more), kind), kind)
 
 
-def listed(value: Iterable[str], kind: str) -> Column:
-    """The same of elements in JSON."""
-    return F.from_json(F.lit(f"[{','.join(value)}]"), kind)
+def literals(row: DataFrame) -> dict[str, Column]:
+    """The columns of a one-row table as literals. The values stay in the JVM and as they are: binary arrays, not lists of objects."""
+    jvm = row.sparkSession.sparkContext._jvm
+    kinds = row._jdf.schema()
+    values = row._jdf.queryExecution().executedPlan().executeCollect()[0].copy()
+    made = {}
+    for i, name in enumerate(row.columns):
+        kind = kinds.apply(i).dataType()
+        expression = jvm.org.apache.spark.sql.catalyst.expressions.Literal(values.get(i, kind), kind)
+        made[name] = Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
+    return made
 
 
 def primes_from(n: int) -> Iterator[int]:
     return (x for x in itertools.count(max(2, n)) if all(x % p for p in range(2, math.isqrt(x) + 1)))
 
 
+@dataclass(frozen=True)
+class Maps:
+    """The bound arrays of a RankMap."""
+
+    shifts: Column
+    keys: Column
+    ranks: Column
+    start: Column
+    last: Column
+
+
 class RankMap:
-    """The rank of each pair of pieces, as literal arrays, and the folds over them.
+    """The rank of each pair of pieces, as flat arrays, and the folds over them.
 
     A pair (a, b) of piece ids is the number a * width + b. Its bucket is that modulo one prime; the bucket's shift, added
     to the number modulo another, is the pair's cell (a perfect hash), which holds the pair and its rank.
@@ -107,52 +135,51 @@ class RankMap:
         rank_of = lambda a, b: ranks.get(bytes([a, b]), self.none)
         start = [None if single[a] is None else (rank_of(a, b) << self.top) + single[a] for a in range(256) for b in range(256)]
         last = [None if x is None else (self.none << self.top) + x for x in single]
-        lists = {"shifts": shifts, "keys": keys, "ranks": [r << self.top for r in found], "start": start, "last": last}
-        self.maps = F.struct(*(literal(x, "array<bigint>").alias(name) for name, x in lists.items()))
+        self.lists = {"shifts": shifts, "keys": keys, "ranks": [r << self.top for r in found], "start": start, "last": last}
 
-    def rank(self, maps: Column, a: Column, b: Column) -> Column:
+    def rank(self, maps: Maps, a: Column, b: Column) -> Column:
         """The rank of a pair in its place in an element; `none` also where b is null."""
 
         def find(key: Column) -> Column:
-            at = ((key + F.get(maps["shifts"], (key % self.buckets).cast("int"))) % self.cells).cast("int")
-            return F.when(F.get(maps["keys"], at) == key, F.get(maps["ranks"], at)).otherwise(big(self.none << self.top))
+            at = ((key + F.get(maps.shifts, (key % self.buckets).cast("int"))) % self.cells).cast("int")
+            return F.when(F.get(maps.keys, at) == key, F.get(maps.ranks, at)).otherwise(big(self.none << self.top))
 
-        return let(a * big(self.width) + b, find)
+        return let(a * big(self.width) + b, find, "bigint")
 
     def id(self, element: Column) -> Column:
         return element.bitwiseAND(big(self.none))
 
-    def ids(self, maps: Column, word: Column) -> Column:
+    def ids(self, maps: Maps, word: Column) -> Column:
         """The ids of one word by the fold of ranked merges."""
         codes = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
         place = lambda i: i.cast("bigint") * big(1 << self.bits)
-        first = let(codes, lambda c: F.transform(c, lambda x, i: F.coalesce(F.get(maps["start"], x * 256 + F.get(c, i + 1)), F.get(maps["last"], x)) + place(i)))
+        first = let(codes, lambda c: F.transform(c, lambda x, i: F.coalesce(F.get(maps.start, x * 256 + F.get(c, i + 1)), F.get(maps.last, x)) + place(i)), "array<bigint>")
 
         def fold(start: Column) -> Column:
             def step(s: Column) -> Column:
                 merge = lambda m: F.when(F.size(s) <= SHORT_WORD, self._in_one_pass(maps, s, m)).otherwise(self._spliced(maps, s, m))
-                return let(F.array_min(s), lambda m: F.when(m >= big(self.none << self.top), s).otherwise(merge(m)))
+                return let(F.array_min(s), lambda m: F.when(m >= big(self.none << self.top), s).otherwise(merge(m)), "array<bigint>")
 
             return F.aggregate(F.slice(start, 2, F.size(start)), start, lambda s, _: step(s), lambda s: F.transform(s, lambda x: self.id(x).cast("int")))
 
-        return let(first, fold)
+        return let(first, fold, "array<int>")
 
-    def _merged(self, maps: Column, least: Column, after: Column) -> Column:
+    def _merged(self, maps: Maps, least: Column, after: Column) -> Column:
         """The element of the merged piece, before the piece after it."""
         new = F.shiftright(least, self.top)
         return self.rank(maps, new, self.id(after)) + least.bitwiseAND(big((1 << self.top) - 1 - self.none)) + new
 
-    def _before(self, maps: Column, least: Column, element: Column) -> Column:
+    def _before(self, maps: Maps, least: Column, element: Column) -> Column:
         """The element of the piece before the merged one."""
         return self.rank(maps, self.id(element), F.shiftright(least, self.top)) + element.bitwiseAND(big((1 << self.top) - 1))
 
-    def _in_one_pass(self, maps: Column, s: Column, least: Column) -> Column:
+    def _in_one_pass(self, maps: Maps, s: Column, least: Column) -> Column:
         """One merge of a short word: its piece, the one before and the one swallowed, found by the least element."""
         gone = big(-1)
         new = F.transform(s, lambda x, i: F.when(x == least, self._merged(maps, least, F.get(s, i + 2))).when(F.get(s, i + 1) == least, self._before(maps, least, x)).when(F.get(s, i - 1) == least, gone).otherwise(x))
         return F.array_remove(new, gone)
 
-    def _spliced(self, maps: Column, s: Column, least: Column) -> Column:
+    def _spliced(self, maps: Maps, s: Column, least: Column) -> Column:
         """One merge of a long word, by copies of whole runs."""
 
         def at(i: Column) -> Column:
@@ -160,7 +187,7 @@ class RankMap:
             left = F.when(i > 1, F.concat(F.slice(s, F.lit(1), i - 2), F.array(self._before(maps, least, F.get(s, i - 2))), merged)).otherwise(merged)
             return F.concat(left, F.slice(s, i + 2, F.size(s)))
 
-        return let(F.array_position(s, least).cast("int"), at)
+        return let(F.array_position(s, least).cast("int"), at, "array<bigint>")
 
 
 def big(n: int) -> Column:
@@ -180,12 +207,19 @@ class Codec:
         self.spark = spark
         self.pattern = java_pattern(spark, pattern)
         self.ranks = RankMap(ranks)
-        names = [""] * (max(ranks.values(), default=-1) + 1)
+        width = self.ranks.width
+        names = [""] * width
         for k, v in ranks.items():
             names[v] = k.decode("latin-1")
-        self.names = literal(names, "array<string>")
-        self.little_endian = literal([i.to_bytes(4, "little").decode("latin-1") for i in range(len(names))], "array<string>")
-        self.head: tuple[Column, Column, int] | None = None
+        little_endian = [i.to_bytes(4, "little").decode("latin-1") for i in range(width)]
+        columns = {name: pa.array([x], pa.list_(pa.int64())) for name, x in self.ranks.lists.items()}
+        columns |= {"names": pa.array([names], pa.list_(pa.string())), "little_endian": pa.array([little_endian], pa.list_(pa.string()))}
+        self.arrays = literals(staged(spark.createDataFrame(pa.table(columns)), "bpe-ranks"))
+        self.cells, self.head = 0, None
+
+    def bound(self, body: Callable[[Maps], Column], kind: str) -> Column:
+        """The body, given the arrays of the rank map, bound once."""
+        return lets([self.arrays[f.name] for f in fields(Maps)], lambda *x: body(Maps(*x)), kind)
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
@@ -195,51 +229,51 @@ class Codec:
         each = texts.select(F.explode(self.words(text_of())).alias("word"))
         sums = staged(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "bpe-words")
         top = most_frequent(sums, "n", size).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        ids = let(self.ranks.maps, lambda maps: self.ranks.ids(maps, F.col("word")))
-        rows = top.select("word", "n", F.xxhash64("word").alias("hash"), F.to_json(ids).alias("ids")).toArrow()  # at most size rows
-        cells = 2
-        while cells < 2 * rows.num_rows:
-            cells *= 2
-        rows = rows.sort_by([("n", "descending"), ("hash", "ascending")])
-        hashes = rows.column("hash").to_numpy()
-        places = zip((hashes & (cells - 1)).tolist(), ((hashes >> 32) & (cells - 1)).tolist())
-        keys, values = ["null"] * cells, ["null"] * cells
-        for (first, second), word, found in zip(places, rows.column("word").to_pylist(), rows.column("ids").to_pylist()):
-            at = first if keys[first] == "null" else second
-            if keys[at] == "null":  # a word without a free cell is folded where it stands
-                keys[at], values[at] = json.dumps(word), found
-        self.head = listed(keys, "array<string>"), listed(values, "array<array<int>>"), cells
+        ids = self.bound(lambda maps: self.ranks.ids(maps, F.col("word")), "array<int>")
+        self.cells = 1 << max(1, (2 * size - 1).bit_length())
+        words = staged(top.select("word", "n", ids.alias("ids")), "bpe-head")  # at most size rows
+        # A cell goes to the most frequent word that names it first, one left free to the most frequent of the others that
+        # name it second; a word without a cell is folded where it stands.
+        best = F.max_by(F.struct("word", "ids"), F.struct("n", "word")).alias("x")
+        first = words.groupBy(self._cell(F.col("word"), 0).alias("cell")).agg(best)
+        left = words.join(first.select("x.word"), "word", "left_anti").groupBy(self._cell(F.col("word"), 1).alias("cell")).agg(best)
+        taken = first.unionAll(left.join(first.select("cell"), "cell", "left_anti"))
+        every = self.spark.range(self.cells).select(F.col("id").cast("int").alias("cell")).join(taken, "cell", "left")
+        listed = every.agg(F.sort_array(F.collect_list(F.struct("cell", "x"))).alias("all"))
+        self.head = literals(staged(listed.select(F.col("all.x.word").alias("words"), F.col("all.x.ids").alias("ids")), "bpe-cells"))
+
+    def _cell(self, word: Column, choice: int) -> Column:
+        """The place of a word in the head's arrays, by its first or second choice."""
+        return (F.hash(word) if choice == 0 else F.hash(word, F.lit(choice))).bitwiseAND(F.lit(self.cells - 1))
 
     def encode(self, text: Column) -> Column:
         """array<int> of the ids of a text."""
-        words = self.words(text)
+        words, kind = self.words(text), "array<array<int>>"
 
-        def each(maps: Column) -> Column:
+        def each(maps: Maps) -> Column:
             if self.head is None:
                 return F.transform(words, lambda w: self.ranks.ids(maps, w))
-            keys, values, cells = self.head
 
-            def known(table: Column, w: Column) -> Column:
-                first = F.xxhash64(w).bitwiseAND(F.lit(cells - 1)).cast("int")
-                second = F.shiftright(F.xxhash64(w), 32).bitwiseAND(F.lit(cells - 1)).cast("int")
-                found = F.when(F.get(table["k"], first) == w, F.get(table["v"], first)).when(F.get(table["k"], second) == w, F.get(table["v"], second))
+            def known(keys: Column, values: Column, w: Column) -> Column:
+                first, second = self._cell(w, 0), self._cell(w, 1)
+                found = F.when(F.get(keys, first) == w, F.get(values, first)).when(F.get(keys, second) == w, F.get(values, second))
                 return found.otherwise(self.ranks.ids(maps, w))
 
-            return let(F.struct(keys.alias("k"), values.alias("v")), lambda table: F.transform(words, lambda w: known(table, w)))
+            return lets([self.head["words"], self.head["ids"]], lambda k, v: F.transform(words, lambda w: known(k, v, w)), kind)
 
-        return F.flatten(let(self.ranks.maps, each))
+        return F.flatten(self.bound(each, kind))
 
     def binary(self, ids: Column) -> Column:
         """The ids as little-endian unsigned 32-bit integers."""
-        return self._joined(self.little_endian, ids)
+        return self._joined("little_endian", ids)
 
     def decode(self, ids: Column) -> Column:
         """The bytes of the ids."""
-        return self._joined(self.names, ids)
+        return self._joined("names", ids)
 
-    def _joined(self, pieces: Column, ids: Column) -> Column:
+    def _joined(self, pieces: str, ids: Column) -> Column:
         """The concatenation of the ids' binary pieces, each held as the characters U+0000 to U+00FF."""
-        joined = let(pieces, lambda bound: F.array_join(F.transform(ids, lambda i: F.get(bound, i)), ""))
+        joined = let(self.arrays[pieces], lambda bound: F.array_join(F.transform(ids, lambda i: F.get(bound, i)), ""), "string")
         return F.encode(joined, "ISO-8859-1")
 
 
