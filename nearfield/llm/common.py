@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
+
+from nearfield.sources.shared import discard, scratch, staged  # noqa: F401
 
 #: ASCII white space, as a regular expression of Java and of DuckDB.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,36 +29,19 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="nearfield-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(rows: DataFrame, name: str, *, partition_by: str | None = None) -> DataFrame:
-    """The rows, written once to the shared folder and read from there: lineage ends here and no pass repeats the work."""
-    at = scratch(rows.sparkSession, name)
-    writer = rows.write.partitionBy(partition_by) if partition_by else rows.write
-    writer.parquet(at)
-    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+#: Where a row lies: its file and its number in it.
+PLACE = ["_nf_file", "_nf_row"]
 
 
-def discard(rows: DataFrame) -> None:
-    """Removes a staged table that nothing reads any more."""
-    spark, files = rows.sparkSession, rows.inputFiles()
-    root = shared_folder(spark)
-    for folder in {f.rsplit("/", 1)[0] for f in files}:
-        if root.split(":", 1)[-1].lstrip("/") in folder:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def located(docs: DataFrame) -> DataFrame:
+    """The rows with their locator; rows that come from no file are staged first."""
+    if set(PLACE) <= set(docs.columns):
+        return docs
+    place = [F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1])]
+    try:
+        return docs.select("*", *place)
+    except AnalysisException:
+        return staged(docs, "content").select("*", *place)
 
 
 def running_start(rows: DataFrame, order: list[str], value: str, name: str, *, rows_each: int = 50_000) -> DataFrame:

@@ -7,17 +7,20 @@ the shuffle, so a text that a third of all rows share costs each task one row. A
 another keeper - is then checked byte by byte against the content at the keeper's locator; rows that differ
 move to the digest's next slot and pass through the state again. So collisions of digests cannot merge texts.
 
+With a state folder, the state outlives the call: the next call with that folder compares its rows with those of all
+calls before (whose files must still be there, with a text column), and a group counts them too.
+
 Texts are equal when identical after each run of ASCII white space is one space; null is the empty text. Null
-identifiers come after all others; rows of equal identifier and text are told apart by their locator.
+identifiers come after all others; rows of equal identifier and text are told apart by their locator. No rows give no
+rows. Input columns named like a result are left out of exact_dedup's rows; kept_documents returns all columns as they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from nearfield.llm.common import SPACE, documents, scratch, staged, text_of
+from nearfield.llm.common import PLACE, SPACE, documents, located, scratch, staged, text_of
 
 #: Hits whose locators are sent to every task; more are joined by shuffle.
 BROADCAST_HITS = 100_000
@@ -26,7 +29,7 @@ HITS_PER_COPY = 256
 #: Files of digests in one micro-batch.
 FILES_PER_BATCH = 64
 KEYS = ["digest", "slot"]
-PLACE = ["_nf_file", "_nf_row"]
+RESULTS = ["keep_id", "group_size", "kept", "text_sha256"]
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -41,71 +44,65 @@ def normalised() -> Column:
     return F.regexp_replace(text_of(), SPACE, " ")
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """The rows with their locator; rows that come from no file are staged first."""
-    if set(PLACE) <= set(docs.columns):
-        return docs
-    try:
-        return docs.select("*", F.col("_metadata.file_path").alias("_nf_file"), F.col("_metadata.row_index").alias("_nf_row"))
-    except AnalysisException:
-        return staged(docs, "content").select("*", F.col("_metadata.file_path").alias("_nf_file"), F.col("_metadata.row_index").alias("_nf_row"))
-
-
-def keepers(spark: SparkSession, rows: DataFrame, files_per_batch: int) -> DataFrame:
-    """(digest, slot, keeper, n) of a staged table of digests, by the stateful stream."""
-    root = scratch(spark, "dedup-state")
-    source = rows.inputFiles()[0].rsplit("/", 1)[0] if rows.inputFiles() else None
-    out = f"{root}/keepers"
-    if source is None:
-        return rows.groupBy(*KEYS).agg(F.min(F.struct(F.lit(False).alias("late"), "doc_id", *PLACE)).alias("keeper"), F.count(F.lit(1)).alias("n"))
-    old = {k: spark.conf.get(k, None) for k in STATE}
+def keepers(spark: SparkSession, rows: DataFrame, files_per_batch: int, root: str) -> DataFrame:
+    """(digest, slot, keeper, n) of all digests that the state below root has seen, by the stateful stream; the rows are added to it."""
+    source, out = f"{root}/digests", f"{root}/keepers"
+    rows.write.mode("append").parquet(source)
+    session = spark.newSession()  # its settings are no other query's
     for k, v in STATE.items():
-        spark.conf.set(k, v)
-    try:
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-        least = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", *PLACE)).alias("keeper")
-        state = stream.groupBy(*KEYS).agg(least, F.count(F.lit(1)).alias("n"))
-
-        def keep(batch: DataFrame, number: int) -> None:
-            batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/at={number}")
-
-        query = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    newest = spark.read.parquet(out).groupBy(*KEYS).agg(F.max_by(F.struct("keeper", "n"), "batch").alias("x"))
+        session.conf.set(k, v)
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    stream = session.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", *PLACE)).alias("keeper")
+    state = stream.groupBy(*KEYS).agg(least, F.count(F.lit(1)).alias("n"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/at={number}")
+
+    state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    place = "struct<late:boolean,doc_id:bigint,_nf_file:string,_nf_row:bigint>"
+    found = spark.read.schema(f"digest binary, slot int, keeper {place}, n bigint, batch int").parquet(out) if rows.limit(1).count() else None
+    if found is None:
+        return spark.createDataFrame([], f"digest binary, slot int, keeper {place}, n bigint")
+    newest = found.groupBy(*KEYS).agg(F.max_by(F.struct("keeper", "n"), "batch").alias("x"))
     return newest.select(*KEYS, "x.keeper", "x.n")
 
 
-def exact_dedup(docs: DataFrame, *, digest: Column | None = None, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """One row for each row of docs: its columns but text, and keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, *, digest: Column | None = None, files_per_batch: int = FILES_PER_BATCH, state: str | None = None) -> DataFrame:
+    """One row for each row of docs: its columns but text, and keep_id, group_size, kept, text_sha256, and the locator.
 
-    digest: an expression over `sha` for tests of collisions. No rows give no rows.
+    digest: an expression over `sha` for tests of collisions. state: a shared folder for a state that outlives the call.
     """
     spark = docs.sparkSession
     here = located(docs)
-    others = [c for c in docs.columns if c not in ("text", *PLACE)]
+    root = state or scratch(spark, "dedup-state")
+    others = [c for c in docs.columns if c not in ("text", *PLACE, *RESULTS)]
     sha = F.sha2(normalised().cast("binary"), 256)
-    rows = here.select(F.struct(*others).alias("kept_columns"), F.col("doc_id"), *PLACE, F.unhex(sha).alias("sha"))
+    rows = here.select(F.struct(F.lit(0).alias("_nf_none"), *others).alias("kept_columns"), F.col("doc_id").cast("bigint").alias("doc_id"), *PLACE, F.unhex(sha).alias("sha"))
     rows = rows.withColumn("digest", F.col("sha") if digest is None else digest).withColumn("slot", F.lit(0))
     rows = staged(rows, "digests")
-    settled = []
+    settled, level = [], 0
     while True:
-        found = staged(keepers(spark, rows, files_per_batch), "keepers")
+        found = keepers(spark, rows.drop("kept_columns", "sha"), files_per_batch, f"{root}/{level}")
+        if state:  # of all that the state holds, what these rows ask for
+            found = found.join(rows.select(*KEYS).distinct(), KEYS, "left_semi")
+        found = staged(found, "keepers")
         joined = rows.join(found, KEYS)
         others_match = staged(mismatches(here, joined, found), "mismatches")
         if others_match.limit(1).count() == 0:
             settled.append(joined)
             break
+        if state:
+            raise ValueError("two texts share a digest; a state that outlives a call keeps one text for each")
         same = staged(joined.join(others_match.select(*PLACE), PLACE, "left_anti"), "settled").drop("n")
         settled.append(same.join(same.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), KEYS))
         rows = staged(rows.join(others_match.select(*PLACE), PLACE, "left_semi").withColumn("slot", F.col("slot") + 1).select(*rows.columns), "digests")
+        level += 1
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
     here_is = (F.col("keeper._nf_file") == F.col("_nf_file")) & (F.col("keeper._nf_row") == F.col("_nf_row"))
-    return out.select("kept_columns.*", F.col("keeper.doc_id").alias("keep_id"), F.col("n").alias("group_size"), here_is.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), *PLACE)
+    return out.select("kept_columns.*", F.col("keeper.doc_id").alias("keep_id"), F.col("n").alias("group_size"), here_is.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), *PLACE).drop("_nf_none")
 
 
 def mismatches(here: DataFrame, joined: DataFrame, found: DataFrame) -> DataFrame:
@@ -120,7 +117,10 @@ def mismatches(here: DataFrame, joined: DataFrame, found: DataFrame) -> DataFram
     small = hits.count() <= BROADCAST_HITS  # groups have more hits than keepers
     texts = here.select(*PLACE, normalised().alias("bytes"))
     near = F.broadcast if small else (lambda x: x)
-    theirs = texts.join(near(many), PLACE).select(*KEYS, F.explode(F.sequence(F.lit(0).cast("bigint"), copies)).alias("copy"), F.col("bytes").alias("kept_bytes"))
+    # Keepers of earlier calls lie in files that are not of this one.
+    files = [r[0] for r in many.select("_nf_file").distinct().join(here.select("_nf_file").distinct(), "_nf_file", "left_anti").collect()]
+    known = texts.unionAll(located(here.sparkSession.read.parquet(*files).select("text")).select(*PLACE, normalised().alias("bytes"))) if files else texts
+    theirs = known.join(near(many), PLACE).select(*KEYS, F.explode(F.sequence(F.lit(0).cast("bigint"), copies)).alias("copy"), F.col("bytes").alias("kept_bytes"))
     mine = texts.join(near(hits), PLACE)
     return mine.join(theirs, [*KEYS, "copy"]).where("bytes <> kept_bytes").select(*PLACE)
 
@@ -128,7 +128,7 @@ def mismatches(here: DataFrame, joined: DataFrame, found: DataFrame) -> DataFram
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     here = located(docs)
-    found = exact_dedup(here)
+    found = exact_dedup(here.select("doc_id", "text", *PLACE))
     lost = found.where(~F.col("kept")).select(*PLACE)
     small = lost.count() <= BROADCAST_HITS
     return here.join(F.broadcast(lost) if small else lost, PLACE, "left_anti").select(*docs.columns)

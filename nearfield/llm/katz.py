@@ -11,12 +11,12 @@ training texts and d the Good-Turing discounts of counts 1 to LIMIT,
 alpha(h) = (1 - mass of the pairs seen) / (1 - P(words seen after h)) for every history, so each distribution sums to
 1 exactly. A history whose pairs all have larger counts is left no mass; its pairs are scaled by c(h) / (c(h) + 1).
 
-Counts lie in tables partitioned by hash. Words are 64-bit hashes. Only the HEAD most frequent words with their counts
+Counts of words lie in a table; those of pairs are taken bucket by bucket. Words are 64-bit hashes. Only the HEAD most frequent words with their counts
 are broadcast; all other words' counts are joined. Events (history, word, text) move once, packed by a hash of the
 history; a history with a large share of all tokens is split by word as well. Each bucket counts its pairs, adds up
 what it can of each text's score and hands on, for the unseen rest, what alpha and P(w) of rare words need.
 
-A null or empty text is the end alone. Rows of equal doc_id and text are scored once and returned each. Without
+A null or empty text is the end alone. Every row is scored by itself, rows of equal doc_id and text too. Without
 training texts N is 0 and P(w) is 1 for the unknown word.
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import documents, hash_words, mix, most_frequent, pieces_of, staged, text_bytes
+from nearfield.llm.common import PLACE, documents, hash_words, located, mix, most_frequent, pieces_of, staged, text_bytes
 
 #: Counts above this are not discounted.
 LIMIT = 5
@@ -95,7 +95,12 @@ def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), (~held_out(F.col("doc_id"))).alias("train"), "text")
+    """(doc_id, key, train, text); the key is the number of the row's file and its place in it, so no two rows share one."""
+    rows = located(docs.select("doc_id", "text"))
+    files = sorted(r[0] for r in rows.select(PLACE[0]).distinct().collect())  # the driver has listed them to read them
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), f"_nf_number bigint, {PLACE[0]} string")
+    key = F.shiftleft(F.col("_nf_number"), 40) + F.col(PLACE[1])
+    return rows.join(F.broadcast(numbers), PLACE[0]).select("doc_id", key.alias("key"), (~held_out(F.col("doc_id"))).alias("train"), "text")
 
 
 def tokens_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,7 +185,7 @@ def events(rows: DataFrame, head, hot: np.ndarray, buckets: int) -> DataFrame:
                     is_hot = hot_words[np.minimum(np.searchsorted(hot_words, history), len(hot_words) - 1)] == history
                     bucket[is_hot] = mix(history[is_hot] ^ mix(token[is_hot])) % np.uint64(buckets)
                 by = np.lexsort((history, bucket))
-                token, history, doc, bucket = token[by], history[by], doc[by].astype(np.uint16), bucket[by]
+                token, history, doc, bucket = token[by], history[by], doc[by].astype(np.uint32), bucket[by]
                 at = np.minimum(np.searchsorted(words, token), max(0, len(words) - 1))
                 hit = words[at] == token if len(words) else np.zeros(len(token), bool)
                 place = np.where(hit, at, len(words)).astype(np.uint32)
@@ -215,7 +220,7 @@ def counted(packed: DataFrame, head, hot: np.ndarray, hot_counts: np.ndarray, un
             rare = place == len(words)
             w = words[np.minimum(place, max(0, len(words) - 1))] if len(words) else np.zeros(len(place), np.uint64)
             w[rare] = np.frombuffer(row["rare"], np.uint64)
-            doc = np.frombuffer(row["doc"], np.uint16)
+            doc = np.frombuffer(row["doc"], np.uint32)
             hs.append(np.repeat(np.frombuffer(row["h"], np.uint64), np.frombuffer(row["runs"], np.uint32)))
             ws.append(w)
             keys.append(np.frombuffer(row["keys"], np.int64)[doc])
@@ -324,7 +329,7 @@ def alphas(found: DataFrame, d: list[float], unigrams: Unigrams, counts: DataFra
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
-    rows = keyed(docs.select("doc_id", "text"))
+    rows = keyed(docs)
     counts = staged(unigram_counts(rows), "unigrams")
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     of_counts = {r[0]: r[1] for r in counts.where(F.col("c") <= LIMIT + 1).groupBy("c").count().collect()}
@@ -337,7 +342,6 @@ def score(docs: DataFrame) -> DataFrame:
     joined = parts.join(counts, "w", "left")
     is_text = F.col("whole")
     base = joined.groupBy("key").agg(
-        F.sum(F.when(is_text, 1)).alias("rows"),
         F.sum(F.when(is_text, F.col("n"))).alias("n_tokens"),
         F.sum(F.when(is_text, F.col("known")).when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.when(is_text, F.col("base")).otherwise(smoothed * F.col("n"))).alias("base"),
@@ -362,9 +366,8 @@ def score(docs: DataFrame) -> DataFrame:
     rare = found.where("kind = 3").select(F.col("a").alias("w"), F.col("b").alias("key"), "n").join(counts, "w", "left")
     rare = rare.groupBy("key").agg(F.sum(F.log10(unigrams.column(F.coalesce("c", F.lit(0)))) * F.col("n")).alias("sum"))
     model = sums.unionAll(after).unionAll(rare).groupBy("key").agg(F.sum("sum").alias("score"))
-    out = keyed(docs.select("doc_id", "text")).select("doc_id", "key", (~F.col("train")).alias("held_out")).join(base, "key").join(model, "key")
-    share = lambda c, kind: (F.col(c) / F.col("rows")).cast(kind).alias({"base": "base_score"}.get(c, c))
-    return out.select("doc_id", "held_out", share("n_tokens", "bigint"), share("n_known", "bigint"), F.lit(total).cast("bigint").alias("train_tokens"), share("base", "double"), share("score", "double"))
+    out = rows.select("doc_id", "key", (~F.col("train")).alias("held_out")).join(base, "key").join(model, "key")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), F.col("score"))
 
 
 def op7_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

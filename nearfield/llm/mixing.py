@@ -6,15 +6,16 @@ higher cost, so a source is repeated only where nothing fresh can fill its quota
 says how many words of each pattern go into the mix. Whole repetitions take every document of the pattern; the
 rest takes the documents with the smallest seeded hashes, up to a threshold found from exact sums.
 
-Only the patterns' and sources' sums reach the driver; their number is bounded by MOST_PATTERNS and checked.
-A null text has no words; documents without words are never taken. Rows of equal identifier hash alike and go
-together. A null source is a source of its own, after all others.
+Only the patterns' and sources' sums reach the driver. The network falls apart into parts that share no source, and the
+flow of each is found by itself; a part of one pattern and one source needs no search. A null text has no words;
+documents without words are never taken. Rows of equal identifier hash alike and go together. A null source is a source of
+its own, after all others. Columns named like a result are overwritten by mix and returned as they are by mixed_documents.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ from pyspark.sql import types as T
 
 from nearfield.llm.common import WORD, documents, staged
 
-MOST_PATTERNS = 20_000
+#: Patterns whose plan is sent to every task; more are joined by shuffle.
+BROADCAST_PATTERNS = 20_000
 #: A document is taken so many times at most.
 MOST = 3
 #: Buckets of the seeded hash; rows are summed one by one only inside the bucket that holds the threshold.
@@ -103,6 +105,37 @@ def route(patterns: dict[tuple, int], quotas: dict, most: int = MOST) -> dict[tu
 
     The r-th repetition costs r (r + 1) / 2 a word, so costs are convex in the words taken.
     """
+    part = {s: s for s in quotas}  # of each source, one that stands for its part of the network
+
+    def top(s):
+        while part[s] != s:
+            part[s] = part[part[s]]
+            s = part[s]
+        return s
+
+    for p in patterns:
+        known = [s for s in p if s in part]
+        for s in known[1:]:
+            part[top(s)] = top(known[0])
+    parts: dict = {}
+    taken = dict.fromkeys(patterns, 0)
+    for p in patterns:
+        known = [s for s in p if s in part]
+        if known:
+            parts.setdefault(top(known[0]), []).append(p)
+    sources: dict = {}
+    for s in quotas:
+        sources.setdefault(top(s), []).append(s)
+    for name, members in parts.items():
+        if len(members) == 1 and len(sources[name]) == 1:
+            taken[members[0]] = min(int(round(quotas[name])), most * patterns[members[0]])
+        else:
+            taken |= routed({p: patterns[p] for p in members}, {s: quotas[s] for s in sources[name]}, most)
+    return taken
+
+
+def routed(patterns: dict[tuple, int], quotas: dict, most: int) -> dict[tuple, int]:
+    """The same for one part of the network."""
     names, sources = list(patterns), list(quotas)
     flow = Flow(2 + len(names) + len(sources))
     place = {s: 2 + len(names) + i for i, s in enumerate(sources)}
@@ -118,20 +151,25 @@ def route(patterns: dict[tuple, int], quotas: dict, most: int = MOST) -> dict[tu
     return {p: sum(flow.room[e ^ 1] for e in taken[i]) for i, p in enumerate(names)}
 
 
+RESULTS = ("size", "times", "taken", "pattern")
+
+
 def mix(docs: DataFrame, members: Column, *, weights: Sequence[float] = (1, 2, 3), most: int = MOST, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """The columns of docs (clashing ones overwritten), and size, times (how often the mix takes the row), taken (words), pattern; and the sources' sizes and targets.
 
     members: an array of source names, null elements allowed. Sources in code-point order weigh `weights`, repeating.
     """
+    rows, info = _mixed(docs, members, weights, most, seed)
+    return rows.select(*(c for c in docs.columns if c not in RESULTS), *(F.col(f"_nf_{c}").alias(c) for c in RESULTS)), info
+
+
+def _mixed(docs: DataFrame, members: Column, weights: Sequence[float], most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """All columns of docs, and the results with names of their own."""
     spark = docs.sparkSession
-    fresh = ("size", "times", "taken", "pattern", "source_size", "target")
-    names = [c for c in docs.columns if c not in fresh]
-    rows = docs.select(*names, words_of().alias("size"), F.array_sort(F.array_distinct(members)).alias("_nf_members"), F.xxhash64("doc_id", F.lit(seed)).alias("_nf_hash"))
-    rows = rows.withColumn("pattern", F.to_json("_nf_members")).drop("_nf_members")
+    pattern = F.to_json(F.array_sort(F.array_distinct(members)))
+    rows = docs.select("*", words_of().alias("_nf_size"), pattern.alias("_nf_pattern"), F.xxhash64("doc_id", F.lit(seed)).alias("_nf_hash"))
     slim = staged(docs.select(words_of().alias("size"), F.array_sort(F.array_distinct(members)).alias("members"), F.xxhash64("doc_id", F.lit(seed)).alias("hash")).withColumn("pattern", F.to_json("members")), "mix-sizes")
-    sums = slim.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members")).limit(MOST_PATTERNS + 1).collect()
-    if len(sums) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+    sums = slim.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members")).collect()  # a row for each pattern
     patterns = {tuple(r["members"] or ()): r["size"] for r in sums}
     sizes: dict = {}
     for p, n in patterns.items():
@@ -149,24 +187,27 @@ def mix(docs: DataFrame, members: Column, *, weights: Sequence[float] = (1, 2, 3
     key = {tuple(r["members"] or ()): r["pattern"] for r in sums}
     plan = [(key[p], wanted[p] // n if n else 0, wanted[p] % n if n else 0) for p, n in patterns.items()]
     plan = spark.createDataFrame(plan, "pattern string, whole bigint, rest bigint")
-    limits = thresholds(slim, plan)
-    chosen = rows.join(F.broadcast(plan.select("pattern", "whole")), "pattern").join(F.broadcast(limits), "pattern", "left")  # a row for each pattern
-    times = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.coalesce(((F.col("_nf_hash") <= F.col("_nf_limit")) | F.coalesce(F.col("_nf_hash") == F.col("_nf_extra"), F.lit(False))).cast("bigint"), F.lit(0)))
-    out = chosen.withColumn("times", F.least(times, F.lit(most)).cast("bigint")).withColumn("taken", F.col("times") * F.col("size"))
+    near = F.broadcast if len(sums) <= BROADCAST_PATTERNS else (lambda x: x)
+    limits = thresholds(slim, plan, near).withColumnRenamed("pattern", "_nf_pattern")
+    whole = plan.select(F.col("pattern").alias("_nf_pattern"), F.col("whole").alias("_nf_whole"))
+    chosen = rows.join(near(whole), "_nf_pattern").join(near(limits), "_nf_pattern", "left")
+    once = (F.col("_nf_hash") <= F.col("_nf_limit")) | F.coalesce(F.col("_nf_hash") == F.col("_nf_extra"), F.lit(False))
+    times = F.when(F.col("_nf_size") == 0, 0).otherwise(F.col("_nf_whole") + F.coalesce(once.cast("bigint"), F.lit(0)))
+    out = chosen.withColumn("_nf_times", F.least(times, F.lit(most)).cast("bigint")).withColumn("_nf_taken", F.col("_nf_times") * F.col("_nf_size"))
     info = spark.createDataFrame([(s, sizes[s], targets[s]) for s in order], T.StructType([T.StructField("source_name", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]))
-    return out.select(*names, "size", "times", "taken", "pattern"), info
+    return out.select(*docs.columns, *(f"_nf_{c}" for c in RESULTS)), info
 
 
-def thresholds(slim: DataFrame, plan: DataFrame) -> DataFrame:
+def thresholds(slim: DataFrame, plan: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(pattern, _nf_limit, _nf_extra): the hash up to which a pattern's documents, in hash order, fit into its rest, and the one document beyond it that fills the gap best."""
     bucket = F.expr(f"floor((cast(hash as double) + 9223372036854775808D) / 18446744073709551616D * {BUCKETS})").cast("int")
     rows = slim.where("size > 0").withColumn("bucket", bucket)
     sums = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("n"))
     upto = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    before = sums.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(plan), "pattern")
+    before = sums.withColumn("upto", F.sum("n").over(upto)).join(near(plan), "pattern")
     edge = before.where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")) & (F.col("rest") > 0))
     edge = staged(edge.select("pattern", "bucket", "rest", (F.col("upto") - F.col("n")).alias("below")), "mix-edges")
-    inside = rows.join(F.broadcast(edge), ["pattern", "bucket"]).groupBy("pattern", "hash", "rest", "below").agg(F.sum("size").alias("n"))
+    inside = rows.join(near(edge), ["pattern", "bucket"]).groupBy("pattern", "hash", "rest", "below").agg(F.sum("size").alias("n"))
     run = F.sum("n").over(Window.partitionBy("pattern").orderBy("hash").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("run", F.col("below") + run)
     fits = F.when(F.col("run") <= F.col("rest"), F.struct("hash", "run"))
@@ -174,15 +215,15 @@ def thresholds(slim: DataFrame, plan: DataFrame) -> DataFrame:
     limit, gap = F.coalesce("last.hash", F.col("first") - 1), F.col("rest") - F.coalesce("last.run", "below")
     limits = staged(last.select("pattern", limit.alias("_nf_limit"), gap.alias("gap")), "mix-limits")
     off = F.abs(F.col("size") - F.col("gap"))
-    beyond = rows.join(F.broadcast(limits), "pattern").where((F.col("hash") > F.col("_nf_limit")) & (off < F.col("gap")))
+    beyond = rows.join(near(limits), "pattern").where((F.col("hash") > F.col("_nf_limit")) & (off < F.col("gap")))
     extra = beyond.groupBy("pattern").agg(F.min_by("hash", F.struct(off, "hash")).alias("_nf_extra"))
     return limits.join(extra, "pattern", "left").select("pattern", "_nf_limit", "_nf_extra")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
-    rows, _ = mix(docs, F.array("source"), **options)
-    every = rows.where("times > 0").withColumn("_nf_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    rows, _ = _mixed(docs, F.array("source"), **{"weights": (1, 2, 3), "most": MOST, "seed": 17, **options})
+    every = rows.where("_nf_times > 0").withColumn("_nf_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_nf_times"))))
     return every.select(*docs.columns)
 
 

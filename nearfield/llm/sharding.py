@@ -1,7 +1,7 @@
 """Shards of near-equal bytes by histogram sort.
 
-Every row has a 128-bit key: a hash of its text, then a hash of its identifier, so equal texts lie next to each
-other. Splitters are found by counting, not by sampling: each round counts the exact bytes below candidate
+Every row has a 128-bit key: a hash of its text, then a hash of its identifier and its locator (file and row), so equal
+texts lie next to each other and repeated rows have keys of their own. Splitters are found by counting, not by sampling: each round counts the exact bytes below candidate
 boundaries in all partitions at once and narrows the interval of every splitter, until each is within the
 tolerance. A splitter falls inside a group of equal texts only where no boundary between groups is within the
 tolerance. Then the rows, texts included, move once; each part is one sorted task.
@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import documents, scratch, staged
+from nearfield.llm.common import PLACE, discard, documents, located, scratch, staged
 
 ROW_BYTES = 16
 #: Allowed distance of a splitter from its place, as a share of a part.
 TOLERANCE = 0.005
-#: Candidate boundaries of each splitter in a round.
-PROBES = 32
+#: Candidate boundaries of each splitter in a round, and of all splitters together, which bounds what is broadcast.
+PROBES, MOST_PROBES = 32, 1 << 17
 #: Bytes above which a shard is sorted by several tasks.
 PART_BYTES = 256 << 20
 SIGN = 1 << 63
@@ -57,7 +57,8 @@ def bytes_below(rows: DataFrame, probes: list[int]) -> tuple[list[int], list[int
             at = np.searchsorted(edges, _keys(b.column("group").to_numpy(), b.column("tie").to_numpy()), "right")
             np.add.at(total, at, b.column("size").to_numpy())
             n += np.bincount(at, minlength=len(n))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(total), pa.array(n)], names=["at", "bytes", "rows"])
+        full = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full]), pa.array(n[full])], names=["at", "bytes", "rows"])
 
     found = rows.select("group", "tie", "size").mapInArrow(count, "at bigint, bytes bigint, rows bigint").groupBy("at").agg(F.sum("bytes"), F.sum("rows")).collect()
     each = {r[0]: (r[1], r[2]) for r in found}
@@ -76,8 +77,11 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE) -> tupl
     low, high = [(0, 0, 0)] * len(want), [(TOP, total, count)] * len(want)  # key, bytes and rows below it
     done: list[int | None] = [None] * len(want)
     while None in done:
-        probes = set()
+        probes: set[int] = set()
+        each = max(2, min(PROBES, MOST_PROBES // done.count(None)))
         for j in (j for j, d in enumerate(done) if d is None):
+            if len(probes) >= MOST_PROBES:
+                break  # the others have their turn in a later round
             (a, a_bytes, a_rows), (b, b_bytes, b_rows) = low[j], high[j]
             near = min(low[j], high[j], key=lambda x: abs(x[1] - want[j]))
             unit = 1 if b - a <= UNIT or a % UNIT else UNIT
@@ -85,7 +89,7 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE) -> tupl
             if abs(near[1] - want[j]) <= slack or b_rows - a_rows <= 1 or inside <= 0:
                 done[j] = min(near[0], TOP - 1)
                 continue
-            steps = min(PROBES, inside)
+            steps = min(each, inside)
             probes.update((a // unit + max(1, inside * (i + 1) // (steps + 1))) * unit for i in range(steps))
         if not probes:
             break
@@ -112,25 +116,33 @@ def shard(docs: DataFrame, shards: int, out: str, *, tolerance: float = TOLERANC
         raise ValueError("shards must be positive")
     spark = docs.sparkSession
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("bigint")
-    group, tie = F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64("doc_id", F.lit("tie"))
+    names = [c for c in docs.columns if c not in ("size", "shard", "slot")]
+    docs = located(docs)
+    group, tie = F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64("doc_id", *PLACE)
     keys = staged(docs.select(group.alias("group"), tie.alias("tie"), size.alias("size")), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     each = max(1, -(-total // (shards * part_bytes)))  # parts of a shard
     edges, counts = splitters(keys, shards * each, tolerance)
-    before = [sum(counts[i - i % each : i]) for i in range(len(counts))]
+    inside = np.array(counts, np.int64).reshape(-1, each)
+    before = (np.cumsum(inside, axis=1) - inside).ravel()
+    discard(keys)
     shared = spark.sparkContext.broadcast(_probe_keys(edges))
 
     @F.pandas_udf("int")
     def part_of(g: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(shared.value, _keys(g.to_numpy(), t.to_numpy()), "right").astype(np.int32))
 
-    names = [c for c in docs.columns if c not in ("size", "shard", "slot")]
     split = docs.select(*names, size.alias("size"), group.alias("_nf_group"), tie.alias("_nf_tie"))
     split = split.withColumn("_nf_part", part_of("_nf_group", "_nf_tie"))
     moved = split.repartitionById(shards * each, F.col("_nf_part")).sortWithinPartitions("_nf_group", "_nf_tie", "doc_id")
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    offset = F.element_at(F.array(*[F.lit(int(x)) for x in before or [0]]), F.col("_nf_part") + 1)
-    placed = moved.select(*names, "size", (F.col("_nf_part") / each).cast("int").alias("shard"), (offset + row).cast("bigint").alias("slot"))
+    offsets = spark.sparkContext.broadcast(before)
+
+    @F.pandas_udf("bigint")
+    def offset_of(part: pd.Series) -> pd.Series:
+        return pd.Series(offsets.value[part.to_numpy()])
+
+    placed = moved.select(*names, "size", (F.col("_nf_part") / each).cast("int").alias("shard"), (offset_of("_nf_part") + row).alias("slot"))
     placed.write.partitionBy("shard").parquet(out)
     return spark.read.schema(placed.schema).parquet(out)
 

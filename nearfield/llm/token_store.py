@@ -10,13 +10,14 @@ has three tables below its folder:
   manifest/  one row for each recipe file range: bucket, first and last doc_id, documents, tokens, root
 
 A document's root is the Merkle root over its chunks' digests, a manifest row's root that over its documents'
-roots. Reading joins recipes and chunks, checks every chunk's digest and every document's root, and fails on a
-difference. A null or empty text is the end id alone. Null doc_ids come first; equal ones in order of their roots.
+roots. Reading joins recipes and chunks, checks every chunk's digest, every document's root and, against the manifest,
+that each range has all its documents, and fails on a difference. A null or empty text is the end id alone. Null doc_ids come first; equal ones in order of their roots.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from nearfield.llm.common import Recent, documents, running_start, scratch
 
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 9, 128, 4096
 #: Words of one generation of a Python worker's cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 def digest(raw: bytes) -> bytes:
@@ -89,17 +90,26 @@ def _byte_letters() -> list[str]:
 _LETTER_OF = dict(enumerate(_byte_letters()))
 
 
+# The normaliser and pattern of the tokenizer that the rules here stand for.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
 class Encoder:
     """Ids of a word as bytes. Words end at ASCII white space, which no token of the tokenizer crosses.
 
     Words of plain Latin letters are cut by the tokenizer's pattern here and their pieces given to its model;
-    all other words go through the whole tokenizer.
+    all other words go through the whole tokenizer. A tokenizer with other rules gets whole texts.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        rules = json.loads(tokenizer_json)
+        self.by_word = all(rules.get(k) == v for k, v in _RULES.items()) and not rules["model"].get("unk_token")
         self.words, self.pieces = Recent(self.word, CACHE_WORDS), Recent(self.piece, CACHE_WORDS)
 
     def word(self, word: bytes) -> bytes:
@@ -115,6 +125,9 @@ class Encoder:
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
         tail = np.array([end_id], "<u4").tobytes()
+        if not self.by_word:
+            every = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [np.array([*x.ids, end_id], "<u4") for x in every]
         out = []
         for t in texts:
             out.append(np.frombuffer(b"".join(map(self.words.__getitem__, t.split())) + tail, "<u4"))
@@ -179,12 +192,30 @@ def write_store(docs: DataFrame, out: str, tokenizer_json: str, end_id: int) ->
     recipes = running_start(recipes.withColumn("root", merkle_root("digests")), ["doc_id", "root", "key"], "n_tokens", "start")
     recipes.select("bucket", "key", "doc_id", "start", "n_tokens", "width", "root", "digests").sortWithinPartitions("bucket", "start", "doc_id").write.option("compression", "zstd").parquet(f"{out}/recipes")
 
+    ranges(spark, out).write.parquet(f"{out}/manifest")
+
+
+RANGE = "bucket int, first_id bigint, last_id bigint, n_docs bigint, n_tokens bigint, root binary"
+
+
+def ranges(spark: SparkSession, path: str) -> DataFrame:
+    """A row (RANGE) for each range of the recipes as they are stored."""
+
     def summary(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["start", "root"])
         return pd.DataFrame({"bucket": part["bucket"].iloc[:1], "first_id": [part["doc_id"].min()], "last_id": [part["doc_id"].max()], "n_docs": [len(part)], "n_tokens": [part["n_tokens"].sum()], "root": [merkle(list(part["root"]))]})
 
-    read = spark.read.parquet(f"{out}/recipes").select("bucket", "doc_id", "start", "n_tokens", "root")
-    read.groupBy("bucket").applyInPandas(summary, "bucket int, first_id bigint, last_id bigint, n_docs bigint, n_tokens bigint, root binary").write.parquet(f"{out}/manifest")
+    recipes = spark.read.schema("bucket int, doc_id bigint, start bigint, n_tokens bigint, root binary").parquet(f"{path}/recipes")
+    return recipes.groupBy("bucket").applyInPandas(summary, RANGE)
+
+
+def verify_ranges(spark: SparkSession, path: str) -> None:
+    """RuntimeError unless the recipes are those that the manifest lists."""
+    listed = spark.read.schema(RANGE).parquet(f"{path}/manifest").select(F.col("bucket").alias("b"), F.struct("n_docs", "n_tokens", "root").alias("want"))
+    found = ranges(spark, path).select("bucket", F.struct("n_docs", "n_tokens", "root").alias("have"))
+    wrong = listed.join(found, listed["b"] == found["bucket"], "full").where(~F.col("want").eqNullSafe(F.col("have"))).limit(1).count()
+    if wrong:
+        raise RuntimeError("the recipes are not those of the manifest")
 
 
 # CRC-32 of joined parts: each part's CRC is moved on by the bytes that follow it, and all are xored.
@@ -237,6 +268,7 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
 
 def recipes_of(spark: SparkSession, path: str) -> DataFrame:
     """The recipes; reading one whose root does not follow from its digests fails."""
+    verify_ranges(spark, path)
     rows = spark.read.parquet(f"{path}/recipes")
     wrong = F.raise_error(F.lit("a recipe differs from its root"))
     return rows.withColumn("root", F.when(merkle_root("digests") == F.col("root"), F.col("root")).otherwise(wrong.cast("binary")))

@@ -3,12 +3,15 @@
 Vectors are cut into pairs of dimensions; each pair has 16 centroids, so a vector is four bits a pair, two pairs a
 byte. Codebooks are trained on a bounded sample to a loss that weighs the residual parallel to the vector ETA times
 the residual orthogonal to it, since only the parallel part moves large inner products; every vector's code is then
-improved pair by pair under the same loss. A scan adds up table entries, one lookup for each byte of code, and the
-best RERANK of each task and query are scored exactly, in double precision, on the original vectors.
-
-Vectors that are null, zero or hold null or non-finite values take no part; nor do those of another dimension than
-the most frequent one. Ties go to the smaller id, equal ids (repeated rows) count as one row each. Queries run in
-blocks, so that no broadcast grows with their number.
+improved pair by pair under the same loss. The codes are stored once, beside the vectors. A scan adds up table entries,
+one lookup for each byte of code; the RERANK rows of each task and query with the largest sums (ties to the smaller id)
+are scored exactly, in double precision, on the original vectors, and the best k of them go on. So a task's answer does
+not depend on how its rows come in batches.
+
+Vectors that are null, zero or hold null or non-finite values take no part. Vectors of each dimension are searched among
+themselves, as there is no inner product of different ones. Ties go to the smaller id; repeated rows count as one row
+each, but one row of the query's id and vector, the query itself, is left out. Queries of one id are one query. They run
+in blocks, so that no broadcast grows with their number.
 """
 
 from __future__ import annotations
@@ -21,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nearfield.llm.common import staged
+
 #: Rows that the codebooks are fitted on: those with the smallest hash of their id.
 SAMPLE = 8192
 ETA = 3.0
 RERANK = 120
-QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
+QUERY_BLOCK, VECTOR_BLOCK = 8192, 4096
+#: Queries whose tables of sums are in memory at once.
+TABLES = 256
 ROUNDS = 8
 STRIDE, K = 20, 20
 
@@ -99,13 +106,11 @@ def tables(queries: np.ndarray, book: Codebook) -> np.ndarray:
     return (high[:, :, :, None] + low[:, :, None, :]).reshape(len(queries), -1, 256).astype(np.float32)
 
 
-def usable(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Rows that take part, as (vec_id, embedding double[]), and their dimension."""
+def usable(rows: DataFrame) -> DataFrame:
+    """Rows that take part, as (vec_id, embedding double[])."""
     v = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    v = v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(good)
-    common = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return (v.where(F.size("embedding") == common["d"]), common["d"]) if common else (v, 0)
+    return v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(good)
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -117,26 +122,43 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Codebook:
     return train(np.array([r["embedding"] for r in chosen]))
 
 
-FOUND = "query_id bigint, vec_id bigint, score double"
+FOUND = "query_id bigint, vec_id bigint, score double, own boolean"
+
+
+def encoded(rows: DataFrame, book, dim: int) -> DataFrame:
+    """(vec_id, embedding, code) of all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, VECTOR_BLOCK):
+                part = batch.slice(at, VECTOR_BLOCK)
+                code = pack(assign(matrix(part.column("embedding"), dim), book.value.centroids))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("embedding"), pa.array([c.tobytes() for c in code], pa.binary())], names=["vec_id", "embedding", "code"])
+
+    return rows.mapInArrow(run, "vec_id bigint, embedding array<double>, code binary")
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int, *, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query (vec_id, embedding) among all rows but itself."""
     spark = rows.sparkSession
-    rows, dim = usable(rows)
-    queries, query_dim = usable(queries)
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    if not dim or query_dim != dim:
-        return empty
-    book = spark.sparkContext.broadcast(fit(rows, sample))
+    rows, queries = usable(rows), usable(queries).dropDuplicates(["vec_id"])
     found = None
-    for ids, block in _blocks(queries, QUERY_BLOCK * 8):
-        near = _scan(rows, ids, block, book, dim, k, max(k, rerank))
-        found = near if found is None else found.unionAll(near)
+    for dim in sorted(r[0] for r in queries.select(F.size("embedding")).distinct().collect()):
+        here = rows.where(F.size("embedding") == dim)
+        book = spark.sparkContext.broadcast(fit(here, sample))
+        codes = staged(encoded(here, book, dim), "codes")
+        for ids, block in _blocks(queries.where(F.size("embedding") == dim), QUERY_BLOCK):
+            near = _scan(codes, ids, block, book, dim, k + 1, max(k + 1, rerank))
+            found = near if found is None else found.unionAll(near)
     if found is None:
-        return empty
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    # One of the rows that are the query goes; it is among the first k + 1 or not among the k at all.
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", F.desc("own"))
+    first = found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
+    itself = F.min(F.when(F.col("own"), F.col("at"))).over(Window.partitionBy("query_id"))
+    first = first.withColumn("itself", F.coalesce(itself, F.lit(k + 2))).where(F.col("at") != F.col("itself"))
+    rank = (F.col("at") - (F.col("at") > F.col("itself")).cast("int")).alias("rank")
+    return first.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
 
 
 def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -151,40 +173,46 @@ def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield np.array(ids, np.int64), np.array(rows)
 
 
-def _scan(rows: DataFrame, ids: np.ndarray, block: np.ndarray, book, dim: int, k: int, rerank: int) -> DataFrame:
-    """One block of queries (a bounded broadcast) against all rows; each task keeps k of each query."""
-    shared = rows.sparkSession.sparkContext.broadcast((ids, block))
+def _scan(codes: DataFrame, ids: np.ndarray, block: np.ndarray, book, dim: int, k: int, rerank: int) -> DataFrame:
+    """One block of queries (a bounded broadcast) against all rows; each task keeps k of each query, of the rerank best by code."""
+    shared = codes.sparkSession.sparkContext.broadcast((ids, block))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = shared.value
-        best_id = [np.zeros(0, np.int64)] * len(qid)
-        best_score = [np.zeros(0)] * len(qid)
-        luts = None
+        # Of each query the best rows so far: sums, ids, exact scores, whether it is the query.
+        best = [(np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))] * len(qid)
         for batch in batches:
             for at in range(0, batch.num_rows, VECTOR_BLOCK):
                 part = batch.slice(at, VECTOR_BLOCK)
-                if luts is None:
-                    luts = tables(q, book.value)
                 vid, v = part.column("vec_id").to_numpy(), matrix(part.column("embedding"), dim)
-                code = pack(assign(v, book.value.centroids)).T.copy()  # a row for each byte
-                for i in range(len(qid)):
-                    lut = luts[i]
-                    near = lut[0].take(code[0])
-                    for j in range(1, len(code)):
-                        near += lut[j].take(code[j])
-                    near[vid == qid[i]] = -np.inf
-                    top = np.argpartition(-near, rerank)[:rerank] if len(near) > rerank else np.arange(len(near))
-                    top = top[vid[top] != qid[i]]
-                    # Exact scores, added left to right.
-                    exact = np.cumsum(v[top] * q[i], axis=1)[:, -1]
-                    all_id, all_score = np.append(best_id[i], vid[top]), np.append(best_score[i], exact)
-                    keep = np.lexsort((all_id, -all_score))[:k]
-                    best_id[i], best_score[i] = all_id[keep], all_score[keep]
-        if luts is not None:
-            n = [len(x) for x in best_id]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(np.concatenate(best_id)), pa.array(np.concatenate(best_score))], names=["query_id", "vec_id", "score"])
-
-    return rows.mapInArrow(run, FOUND)
+                code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(vid), -1).T.copy()  # a row for each byte
+                for first in range(0, len(qid), TABLES):
+                    luts = tables(q[first : first + TABLES], book.value)
+                    for i, lut in enumerate(luts, first):
+                        near = lut[0].take(code[0])
+                        for j in range(1, len(code)):
+                            near += lut[j].take(code[j])
+                        sums, known, exact, own = best[i]
+                        top = np.flatnonzero(near >= (sums[-1] if len(sums) == rerank else -np.inf))
+                        if len(top) > rerank:
+                            edge = np.partition(near[top], len(top) - rerank)[len(top) - rerank]
+                            top = top[near[top] >= edge]
+                        if not len(top):
+                            continue
+                        scores = np.cumsum(v[top] * q[i], axis=1)[:, -1]  # added left to right
+                        same = (vid[top] == qid[i]) & (v[top] == q[i]).all(axis=1)
+                        every = [np.append(a, b) for a, b in zip((sums, known, exact, own), (near[top], vid[top], scores, same))]
+                        keep = np.lexsort((every[1], -every[0]))[:rerank]
+                        best[i] = tuple(x[keep] for x in every)
+        for first in range(0, len(qid), TABLES):
+            out = []
+            for i in range(first, min(first + TABLES, len(qid))):
+                _, known, exact, own = best[i]
+                keep = np.lexsort((~own, known, -exact))[:k]
+                out.append((np.full(len(keep), qid[i]), known[keep], exact[keep], own[keep]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["query_id", "vec_id", "score", "own"])
+
+    return codes.mapInArrow(run, FOUND)
 
 
 def op8_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

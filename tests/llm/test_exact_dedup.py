@@ -52,3 +52,24 @@ def test_null_ids_come_last_and_other_columns_stay(spark):
 def test_empty_table(spark):
     found = exact_dedup(table(spark, []))
     assert found.count() == 0 and set(PLACE) < set(found.columns)
+
+
+def test_state_outlives_the_call(spark, tmp_path):
+    table(spark, [(5, "a  b"), (6, "c"), (7, "a b")]).write.parquet(str(tmp_path / "one"))
+    table(spark, [(2, "a b"), (8, "c"), (9, "d"), (10, "d")]).write.parquet(str(tmp_path / "two"))
+    state = str(tmp_path / "state")
+    first = exact_dedup(spark.read.parquet(str(tmp_path / "one")), state=state).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in first} == {5: (5, 2, True), 7: (5, 2, False), 6: (6, 1, True)}
+    second = exact_dedup(spark.read.parquet(str(tmp_path / "two")), state=state).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in second} == {2: (2, 3, True), 8: (6, 2, False), 9: (9, 2, True), 10: (9, 2, False)}
+
+
+def test_clashing_columns(spark):
+    docs = table(spark, [(1, "x"), (2, "x"), (3, "y")])
+    for name in ("kept", "keep_id", "group_size", "text_sha256", "digest", "slot", "keeper", "n"):
+        docs = docs.withColumn(name, F.lit(f"user's {name}"))
+    kept = kept_documents(docs)
+    assert kept.columns == docs.columns and {(r["doc_id"], r["kept"], r["n"]) for r in kept.collect()} == {(i, "user's kept", "user's n") for i in (1, 3)}
+    out = exact_dedup(docs)
+    assert len(set(out.columns)) == len(out.columns)
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["digest"]) for r in out.collect()} == {(1, 1, 2, True, "user's digest"), (2, 1, 2, False, "user's digest"), (3, 3, 1, True, "user's digest")}
