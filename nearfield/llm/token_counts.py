@@ -3,8 +3,9 @@
 An Aho-Corasick automaton enumerates the vocabulary's matches that end at each character; the dynamic programme
 keeps only the best score and its number of pieces there. Rules are those of the unigram tokenizer: a character
 that is no piece costs the least score less 10 and falls back to its UTF-8 bytes; of equal scores the earlier
-start wins. Spaces become U+2581 and one is put in front. Where no piece goes on from another character into a space, a
-text is the sum of its words, each with the spaces before it; a word is searched once for as long as it stays in a
+start wins. Spaces become U+2581, and one is put in front of a text that does not begin with one, as the tokenizers library
+does. Where no piece goes on from another character into a space, and scores are whole numbers (whose sums do not depend
+on their order), a text is the sum of its words, each with the spaces before it; a word is searched once for as long as it stays in a
 bounded cache. Line feeds that are in no piece stand alone as well. Other vocabularies are searched text by text.
 
 A null or empty text has 0 tokens.
@@ -61,7 +62,7 @@ class Counter:
         self.unknown = (min((s for _, s in pieces), default=0.0) if least is None else least) - UNKNOWN_PENALTY
         self.fallback = fallback
         # A text can be cut in front of each run of spaces unless a piece goes on there.
-        self.separable = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _ in pieces)
+        self.separable = all(float(score).is_integer() and not re.search(f"[^{SPACE}]{SPACE}", p) for p, score in pieces)
         self.words = Recent(self.word, CACHE_WORDS)
         self.units = _UNITS if any("\n" in p for p, _ in pieces) else _UNITS_AND_LINES
 
@@ -105,7 +106,8 @@ class Counter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        text = " " + text.replace(SPACE, " ")
+        text = text.replace(SPACE, " ")
+        text = text if text[0] == " " else " " + text
         if not self.separable:
             return self.word(text)
         n = sum(map(self.words.__getitem__, self.units.findall(text)))

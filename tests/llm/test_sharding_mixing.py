@@ -31,6 +31,18 @@ def test_a_group_larger_than_a_shard_is_split(spark, tmp_path):
     assert len(got) == 4 and max(abs(r["count"] - 150) for r in got) <= 2
 
 
+def test_repeated_rows_are_dealt_out(spark, tmp_path):
+    table(spark, [(7, "the same row")] * 600).repartition(3).write.parquet(str(tmp_path / "in"))
+    got = sharding.shard(spark.read.parquet(str(tmp_path / "in")), 4, str(tmp_path / "s")).groupBy("shard").count().collect()
+    assert len(got) == 4 and max(abs(r["count"] - 150) for r in got) <= 2
+
+
+def test_many_splitters_take_turns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_PROBES", 8)
+    got = sharding.shard(table(spark, [(i, f"{BASE} {i}") for i in range(400)]), 10, str(tmp_path / "s"), part_bytes=1500).groupBy("shard").agg(F.sum("size").alias("n"), F.count("slot").alias("rows"), F.max("slot").alias("last")).collect()
+    assert len(got) == 10 and all(r["last"] == r["rows"] - 1 for r in got) and max(r["n"] for r in got) < 1.05 * min(r["n"] for r in got)
+
+
 def test_odd_rows_and_empty_tables(spark, tmp_path):
     assert sharding.shard(table(spark, ODD), 40, str(tmp_path / "a")).count() == len(ODD)
     assert sharding.shard(table(spark, []), 3, str(tmp_path / "b")).count() == 0
@@ -85,6 +97,17 @@ def test_mix_of_overlapping_sources(spark):
     assert mixing.mix(table(spark, []), F.array("source"))[0].count() == 0
 
 
+def test_mix_of_many_sources_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_PATTERNS", 3)
+    names = ("size", "times", "taken", "pattern", "target", "source_size", "bucket", "hash", "whole", "rest")
+    docs = table(spark, [(i, "word " * 10, "en", f"s{i % 40}") for i in range(400)])
+    for name in names:
+        docs = docs.withColumn(name, F.lit(77))
+    every = mixing.mixed_documents(docs)
+    assert every.columns == docs.columns and every.where(" or ".join(f"{x} <> 77" for x in names)).count() == 0
+    assert every.count() == pytest.approx(400, abs=40)
+
+
 def test_sizes_are_words(spark):
     got = {r[0]: r[1] for r in table(spark, ODD).select("doc_id", mixing.words_of()).collect()}
     assert got == {r[0]: len(WORD.findall(r[1] or "")) for r in ODD}

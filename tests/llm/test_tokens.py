@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -34,8 +35,10 @@ def unigram(vocabulary):
 
 
 def test_counts_match_the_library(spark, vocabulary, unigram):
-    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(table(spark, ROWS), vocabulary).collect()}
-    assert got == {r[0]: len(unigram.encode(r[1] or "", add_special_tokens=False).ids) for r in ROWS}
+    spaced = [" hello", "  hello", " a", "▁hello", "▁▁ a b", "hello ", "a ▁ b", " ", "   ", "\n a", "a\n\nb", " ümlaut ▁", "\t x"]
+    rows = [*ROWS, *((100 + i, x) for i, x in enumerate(spaced))]
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(table(spark, rows), vocabulary).collect()}
+    assert got == {r[0]: len(unigram.encode(r[1] or "", add_special_tokens=False).ids) for r in rows}
     assert token_counts.token_counts(table(spark, []), vocabulary).count() == 0
 
 
@@ -60,6 +63,7 @@ def test_viterbi_against_all_segmentations():
 def test_a_piece_with_an_inner_space_is_found():
     counter = token_counts.Counter([("▁", -1.0), ("a", -1.0), ("a▁a", -0.5)], set())
     assert not counter.separable and counter.count("a a") == 2
+    assert not token_counts.Counter([("▁", -1.5), ("a", -1.0)], set()).separable
 
 
 @pytest.fixture(scope="module")
@@ -135,9 +139,29 @@ def test_store_detects_damage(spark, tmp_path, word_bpe):
     token_store.write_store(table(spark, [(1, "some text"), (2, "more text here")]), out, word_bpe, 2)
     bad = spark.read.parquet(f"{out}/chunks").withColumn("digest", F.reverse(F.hex("digest")).cast("binary"))
     bad.write.parquet(str(tmp_path / "bad" / "chunks"))
-    spark.read.parquet(f"{out}/recipes").write.parquet(str(tmp_path / "bad" / "recipes"))
+    for name in ("recipes", "manifest"):
+        spark.read.parquet(f"{out}/{name}").write.parquet(str(tmp_path / "bad" / name))
     with pytest.raises(Exception, match="differs|missing"):
         token_store.read_summaries(spark, str(tmp_path / "bad")).collect()
+    # A document that is gone from the recipes is missed by the manifest.
+    spark.read.parquet(f"{out}/chunks").write.parquet(str(tmp_path / "less" / "chunks"))
+    spark.read.parquet(f"{out}/manifest").write.parquet(str(tmp_path / "less" / "manifest"))
+    spark.read.parquet(f"{out}/recipes").where("doc_id = 1").write.parquet(str(tmp_path / "less" / "recipes"))
+    for read in (token_store.read_summaries, token_store.read_ids):
+        with pytest.raises(RuntimeError, match="manifest"):
+            read(spark, str(tmp_path / "less"))
+
+
+def test_other_tokenizers_get_whole_texts(word_bpe):
+    from tokenizers import Tokenizer
+
+    cased = json.loads(word_bpe)
+    cased["normalizer"] = {"type": "NFC"}
+    raw = json.dumps(cased)
+    encoder, texts = token_store.Encoder(raw), ["A cased TEXT  here", "", "naïve"]
+    t = Tokenizer.from_str(raw)
+    assert [x.tolist() for x in encoder.encode([x.encode() for x in texts], 2)] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert token_store.Encoder(word_bpe).by_word and not encoder.by_word
 
 
 def test_store_of_nothing(spark, tmp_path, word_bpe):
