@@ -193,6 +193,8 @@ _KNN = f"{_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 _TOP = f"{_KNN} SELECT query_id, rank, user_id, round(distance, 6) AS distance FROM r WHERE rank <= {K}"
 _ORD = "a AS (SELECT vec_id AS user_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS ordinal FROM embeddings)"
 _SEG = f"{_ORD}, s AS (SELECT user_id, embedding, ordinal, ordinal // {CAPACITY} AS segment_id, ordinal % {CAPACITY} AS \"offset\" FROM a)"
+# Offsets below CAPACITY whose node's top layer is 1 or 2, by the seeded sequence of layers; none is higher.
+_LEVEL_1, _LEVEL_2 = "12, 20, 21, 35, 37, 43, 58, 65, 73, 84, 99", "27"
 _CELLS = "c AS (SELECT vec_id, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), w AS (SELECT dim, min(x) AS lo, max(x) - min(x) AS width FROM c GROUP BY dim), sp AS (SELECT dim, lo, CASE WHEN width < 1e-10 THEN 1.0::DOUBLE ELSE width END AS scale FROM w)"
 _CODES = f"{_CELLS}, code AS (SELECT vec_id, dim, lo, scale, CAST(round(least(greatest((x - lo) / scale, 0), 1) * 255) AS BIGINT) AS code FROM c JOIN sp USING (dim))"
 _DECODED = f"{_CODES}, dec AS (SELECT vec_id, list(code / 255.0::DOUBLE * scale + lo ORDER BY dim) AS v FROM code GROUP BY vec_id)"
@@ -220,5 +222,7 @@ def oracle_sql() -> dict[str, str]:
         "sq8_error": f"WITH {_ASYM} SELECT round(max(abs(distance - exact) / exact), 6) AS max_error, round(avg(abs(distance - exact) / exact), 6) AS avg_error, count(*) AS pairs FROM ap WHERE exact > 0",
         "recall_sq8": f"WITH {_ASYM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, user_id) AS near, row_number() OVER (PARTITION BY query_id ORDER BY exact, user_id) AS truth FROM ap) SELECT query_id, round(count(*) FILTER (WHERE near <= {K}) / count(*)::DOUBLE, 6) AS recall FROM r WHERE truth <= {K} GROUP BY query_id",
         "hnsw_exhaustive": _TOP,
+        "hnsw_levels": f"WITH {_SEG}, l AS (SELECT segment_id, CASE WHEN \"offset\" IN ({_LEVEL_1}) THEN 1 WHEN \"offset\" IN ({_LEVEL_2}) THEN 2 ELSE 0 END::BIGINT AS level FROM s) SELECT segment_id, level, count(*) AS nodes FROM l GROUP BY ALL",
+        "hnsw_reachable": f"WITH {_SEG} SELECT segment_id, count(*) AS nodes, count(*) AS reached FROM s GROUP BY segment_id",
         "hnsw_invariants": "SELECT 0::BIGINT AS one_way, 0::BIGINT AS over_degree, 0::BIGINT AS dangling",
     }
