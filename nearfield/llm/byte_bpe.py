@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import documents, most_frequent, staged, text_of
 
-HEAD_WORDS = 1 << 18
+HEAD_WORDS = 3 << 18
 #: Pieces up to which a merge is one pass over the word's array; beyond, whole runs are copied.
 SHORT_WORD = 48
 
@@ -230,7 +230,7 @@ class Codec:
         sums = staged(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "bpe-words")
         top = most_frequent(sums, "n", size).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         ids = self.bound(lambda maps: self.ranks.ids(maps, F.col("word")), "array<int>")
-        self.cells = 1 << max(1, (2 * size - 1).bit_length())
+        self.cells = 1 << max(1, (4 * size // 3 - 1).bit_length())
         words = staged(top.select("word", "n", ids.alias("ids")), "bpe-head")  # at most size rows
         # A cell goes to the most frequent word that names it first, one left free to the most frequent of the others that
         # name it second; a word without a cell is folded where it stands.
