@@ -129,6 +129,11 @@ def sq8_topk(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(sq8.topk(query_set(v), codes, p, K))
 
 
+def sq8_topk_arrow(spark: SparkSession, d: str) -> DataFrame:
+    v, codes, p = _codes(spark, d)
+    return _rounded(sq8.topk_arrow(query_set(v), codes, p, K))
+
+
 def sq8_error(spark: SparkSession, d: str) -> DataFrame:
     """Largest and mean relative error of asymmetric distances, over pairs of distance above 0."""
     v, codes, p = _codes(spark, d)
@@ -180,7 +185,7 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("recall", F.round("recall", 6))
 
 
-NAMED = (l2_pairs, flat_topk, knn_batch, knn_arrow, segment_assign, id_mapping, id_lookup, segment_topk, segmented_knn, segment_stats, db_stats, insert_dedupe, sq8_params, sq8_encode, sq8_decode, sq8_topk, sq8_error, recall_sq8, hnsw_exhaustive, hnsw_topk, hnsw_invariants, hnsw_reachable, hnsw_levels, recall_at_k)
+NAMED = (l2_pairs, flat_topk, knn_batch, knn_arrow, segment_assign, id_mapping, id_lookup, segment_topk, segmented_knn, segment_stats, db_stats, insert_dedupe, sq8_params, sq8_encode, sq8_decode, sq8_topk, sq8_topk_arrow, sq8_error, recall_sq8, hnsw_exhaustive, hnsw_topk, hnsw_invariants, hnsw_reachable, hnsw_levels, recall_at_k)
 
 
 def queries() -> dict[str, Query]:
@@ -219,6 +224,7 @@ def oracle_sql() -> dict[str, str]:
         "sq8_encode": f"WITH {_CODES} SELECT vec_id AS user_id, dim, code FROM code",
         "sq8_decode": f"WITH {_CODES} SELECT vec_id AS user_id, dim, round(code / 255.0::DOUBLE * scale + lo, 6) AS value FROM code",
         "sq8_topk": f"WITH {_ASYM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, user_id) AS rank FROM ap) SELECT query_id, rank, user_id, round(distance, 6) AS distance FROM r WHERE rank <= {K}",
+        "sq8_topk_arrow": f"WITH {_ASYM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, user_id) AS rank FROM ap) SELECT query_id, rank, user_id, round(distance, 6) AS distance FROM r WHERE rank <= {K}",
         "sq8_error": f"WITH {_ASYM} SELECT round(max(abs(distance - exact) / exact), 6) AS max_error, round(avg(abs(distance - exact) / exact), 6) AS avg_error, count(*) AS pairs FROM ap WHERE exact > 0",
         "recall_sq8": f"WITH {_ASYM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, user_id) AS near, row_number() OVER (PARTITION BY query_id ORDER BY exact, user_id) AS truth FROM ap) SELECT query_id, round(count(*) FILTER (WHERE near <= {K}) / count(*)::DOUBLE, 6) AS recall FROM r WHERE truth <= {K} GROUP BY query_id",
         "hnsw_exhaustive": _TOP,
