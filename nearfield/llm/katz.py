@@ -36,7 +36,7 @@ from nearfield.llm.common import PLACE, documents, hash_words, located, mix, mos
 LIMIT = 5
 HEAD = 1 << 18
 #: Events of a bucket.
-BUCKET_EVENTS = 2_000_000
+BUCKET_EVENTS = 1_000_000
 #: A history with more than this share of a bucket is split by word.
 HOT = 0.25
 #: Tokens counted together in a task.
@@ -171,6 +171,11 @@ def base_parts(rows: DataFrame, head, total: int, types: int) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, "key bigint, whole boolean, w bigint, n bigint, base double, known bigint")
 
 
+def _narrow(n: int) -> type:
+    """The type of numbers below n."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
 def events(rows: DataFrame, head, hot: np.ndarray, buckets: int) -> DataFrame:
     """Packed events by bucket: runs of histories, words as places among the frequent ones or hashes, and texts."""
     shared = rows.sparkSession.sparkContext.broadcast((head[0], hot))
@@ -190,16 +195,18 @@ def events(rows: DataFrame, head, hot: np.ndarray, buckets: int) -> DataFrame:
                 hit = words[at] == token if len(words) else np.zeros(len(token), bool)
                 place = np.where(hit, at, len(words)).astype(np.uint32)
                 edge = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
-                keys, train = part.column("key").to_numpy().tobytes(), part.column("train").to_numpy(zero_copy_only=False).tobytes()
-                out: list[list] = [[] for _ in range(6)]
+                keys, train = part.column("key").to_numpy(), part.column("train").to_numpy(zero_copy_only=False)
+                out: list[list] = [[] for _ in range(7)]
                 full = np.flatnonzero(np.diff(edge))
                 for b in full:
                     s = slice(edge[b], edge[b + 1])
                     h, runs = np.unique(history[s], return_counts=True)
-                    for column, value in zip(out, (h, runs.astype(np.uint32), place[s], token[s][~hit[s]], doc[s])):
+                    here = np.zeros(len(keys), bool)
+                    here[doc[s]] = True  # a bucket gets only the texts that it has events of
+                    local = (np.cumsum(here) - 1)[doc[s]].astype(_narrow(int(here.sum())))
+                    for column, value in zip(out, (h, runs.astype(np.uint32), place[s], token[s][~hit[s]], local, keys[here], train[here])):
                         column.append(value.tobytes())
-                n = len(full)
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(x, pa.binary()) for x in (*out[:5], [keys] * n, [train] * n))], names=["bucket", "h", "runs", "place", "rare", "doc", "keys", "train"])
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(x, pa.binary()) for x in out)], names=["bucket", "h", "runs", "place", "rare", "doc", "keys", "train"])
 
     return rows.select("key", "train", "text").mapInArrow(run, "bucket int, h binary, runs binary, place binary, rare binary, doc binary, keys binary, train binary")
 
@@ -220,7 +227,7 @@ def counted(packed: DataFrame, head, hot: np.ndarray, hot_counts: np.ndarray, un
             rare = place == len(words)
             w = words[np.minimum(place, max(0, len(words) - 1))] if len(words) else np.zeros(len(place), np.uint64)
             w[rare] = np.frombuffer(row["rare"], np.uint64)
-            doc = np.frombuffer(row["doc"], np.uint32)
+            doc = np.frombuffer(row["doc"], _narrow(len(row["keys"]) // 8))
             hs.append(np.repeat(np.frombuffer(row["h"], np.uint64), np.frombuffer(row["runs"], np.uint32)))
             ws.append(w)
             keys.append(np.frombuffer(row["keys"], np.int64)[doc])
