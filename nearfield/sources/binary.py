@@ -3,7 +3,8 @@
 Formats (short name): `vecbin` (16-byte header: magic, version, dim, count, then float32 rows), `idbin`
 (12-byte header, then unsigned 64-bit ids), `graphbin` (24-byte header, then levels and neighbour lists),
 `fvecs` and `ivecs` (each row: int32 length, then float32 or int32 values). All little-endian. Readers open
-local or mounted files; vecbin, idbin, fvecs and ivecs are split into ranges of equal-sized rows.
+local or mounted files; vecbin, idbin, fvecs and ivecs are split into ranges of equal-sized rows. Writers leave parts
+beside the target, so its folder must be one that driver and executors share (a mount); `collection.write` needs none.
 """
 
 from __future__ import annotations
