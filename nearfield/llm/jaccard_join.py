@@ -11,11 +11,12 @@ at least numer / denom. Rows of a null doc_id link with nothing; rows of one doc
    into buckets of index lists. Equal sets are one class; of the HEAVY classes with the most documents only the first
    document is indexed, of others one for each task. Lists skip whole blocks of entries whose least position already
    fails the bound on the overlap that a shared shingle at two positions leaves (index-level skipping).
-3. Answers. In a long list only the pairs of a leader and its members are verified first. For two members y, z of a
-   leader x, the overlap is at most min(|xy|, |xz|) + min(|y| - |xy|, |z| - |xz|): so their answers follow from the
+3. Answers. Of a long list's pairs only those of a leader and its members are verified first, one for each member. For two
+   members y, z of a leader x, the overlap is at most min(|xy|, |xz|) + min(|y| - |xy|, |z| - |xz|): so their answers follow from the
    leader's (answer-level skipping). What this bound allows and no chain of links connects yet must also pass a bound
    from sketches: a set's sketch holds, for each place, whether an odd number of its shingles fall there, so two sketches
-   differ in at most as many places as the sets do. Only what is left is verified. Long lists are dealt out by bands of
+   differ in at most as many places as the sets do. Of what is left, each entry of a list first hands on one pair, with the
+   sketch most like its own; once those are verified and components merged, all pairs still left are. Long lists are dealt out by bands of
    set sizes. Every link between documents of different components is thus found; pairs within a component are not
    enumerated.
 4. Verification ships each needed set once for each pair and compares whole sets.
@@ -189,7 +190,7 @@ def _unpacked(table: pa.Table, column: str, kind) -> np.ndarray:
 
 
 def lists_of(packed: DataFrame, numer: int, denom: int) -> DataFrame:
-    """From each bucket: pairs to verify (kind 0: a, b), and the entries of long lists (kind 1: leader a, member b, list, size, place)."""
+    """From each bucket: pairs of short lists (kind 0: a, b), and the entries of long lists (kind 1: leader a, member b, list, size, place)."""
 
     def run(table: pa.Table) -> pa.Table:
         token, doc = _unpacked(table, "tokens", np.uint64), _unpacked(table, "ids", np.int64)
@@ -216,10 +217,7 @@ def lists_of(packed: DataFrame, numer: int, denom: int) -> DataFrame:
             near = denom * size[lead] >= numer * size[rest]
             leader[rest[near]] = lead[near]
             rest = rest[~near]
-        member = np.flatnonzero((leader >= 0) & (leader != np.arange(len(leader))))
-        first.append(leader[member])
-        second.append(member)
-        a, b = np.concatenate(first), np.concatenate(second)
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (first, second))
         good = allowed(size[a], place[a], size[b], place[b], numer, denom) & (doc[a] != doc[b])
         pairs = np.unique(np.stack([np.minimum(doc[a], doc[b])[good], np.maximum(doc[a], doc[b])[good]]), axis=1) if good.any() else np.zeros((2, 0), np.int64)
         at = np.flatnonzero(leader >= 0)
@@ -257,8 +255,8 @@ def banded(entries: DataFrame, numer: int, denom: int, top: int) -> DataFrame:
     return entries.withColumn("x", both).select(*entries.columns, "x.band", "x.own")
 
 
-def remaining(entries: DataFrame, verified: DataFrame, labels: DataFrame, sketches: DataFrame, numer: int, denom: int) -> DataFrame:
-    """Pairs (a, b) of long lists that neither the leaders' answers nor the sketches connect or exclude."""
+def remaining(entries: DataFrame, verified: DataFrame, labels: DataFrame, sketches: DataFrame, numer: int, denom: int, *, one: bool) -> DataFrame:
+    """Pairs (a, b) of long lists that neither the leaders' answers nor the sketches connect or exclude; one: at most one for each entry of a list."""
     top = entries.agg(F.max("size")).first()[0] or 1
     overlap = verified.select("a", "b", "overlap")
     both = overlap.unionAll(overlap.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap"))
@@ -303,10 +301,14 @@ def remaining(entries: DataFrame, verified: DataFrame, labels: DataFrame, sketch
             most = np.minimum(overlap[i], overlap[j]) + np.minimum(size[i] - overlap[i], size[j] - overlap[j])
             ok = ~known | (most >= least_overlap(size[i], size[j], numer, denom))
             j = j[ok & ((lead[i] != doc[j]) & (lead[j] != doc[i]) | ~known)]
+            differ = np.zeros(len(j), np.int64)
             if len(j) and width[i]:
                 rows_, row_of = at_width[width[i]]
-                differ = np.bitwise_count(rows_[row_of[j]] ^ rows_[row_of[i]]).sum(axis=1, dtype=np.int64)
-                j = j[(row_of[j] < 0) | ((size[i] + size[j] - differ) // 2 >= least_overlap(size[i], size[j], numer, denom))]
+                differ = np.where(row_of[j] < 0, 0, np.bitwise_count(rows_[row_of[j]] ^ rows_[row_of[i]]).sum(axis=1, dtype=np.int64))
+            near = (size[i] + size[j] - differ) // 2 >= least_overlap(size[i], size[j], numer, denom)
+            j, differ = j[near], differ[near]
+            if one:
+                j = j[np.argsort(differ, kind="stable")[:1]]
             out += [(min(doc[i], x), max(doc[i], x)) for x in doc[j].tolist()]
         found = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
@@ -418,12 +420,16 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, numer: int = NUME
     buckets = max(8, -(-entries // BUCKET_ENTRIES))
     found = staged(lists_of(index_entries(docs, order, heavy, buckets, words, numer, denom), numer, denom), "lists")
     bound = (words, numer, denom)
-    answers, labels = connect(docs, found.where("kind = 0").select("a", "b").distinct(), labels, bound, ROUNDS)
+    entries = found.where("kind = 1")
+    led = entries.where("a <> b").groupBy("b").agg(F.min("a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    answers, labels = connect(docs, found.where("kind = 0").select("a", "b").unionAll(led).distinct(), labels, bound, ROUNDS)
     # A doc_id with several sets has no sketch, so nothing is excluded by it.
     one = (F.min("n") == F.max("n")) & (F.min("a") == F.max("a")) & (F.min("b") == F.max("b"))
     sketches = described.where("kind = 0 and doc_id is not null").groupBy("doc_id").agg(F.when(one, F.max("sketch")).alias("sketch")).withColumnRenamed("doc_id", "b")
-    more = remaining(found.where("kind = 1"), answers, labels, sketches, numer, denom)
-    _, labels = connect(docs, more, labels, bound, min(ROUNDS, 1))
+    for one in (True, False):
+        more = remaining(entries, answers, labels, sketches, numer, denom, one=one)
+        got, labels = connect(docs, more, labels, bound, 1)
+        answers = answers.unionAll(got)
     discard(found)
     out = sizes.join(labels, sizes["doc_id"] == labels["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
