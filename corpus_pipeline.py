@@ -39,8 +39,9 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rows, codec = byte_bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
     ids = F.col("ids")
-    out = rows.select("doc_id", "lang", "source", F.size(ids).cast("bigint").alias("n_tokens"), codec.binary(ids).alias("ids"), F.sha2(codec.decode(ids), 256).alias("decoded_sha256"))
-    return out.withColumn("ids_sha256", F.sha2("ids", 256))
+    n_tokens, decoded = F.size(ids).cast("bigint").alias("n_tokens"), F.sha2(codec.decode(ids), 256).alias("decoded_sha256")
+    out = rows.select("doc_id", "lang", "source", n_tokens, codec.binary(ids).alias("raw"), decoded)
+    return out.select("doc_id", "lang", "source", "n_tokens", F.col("raw").alias("ids"), "decoded_sha256", F.sha2("raw", 256).alias("ids_sha256"))
 
 
 STAGES = [
