@@ -69,6 +69,36 @@ def test_components_with_skipping_forced(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_sketches_exclude_sets_below_the_bound():
+    """Sets of 600 with a similarity of 0.8 are told from links of 0.85 without a comparison; linked ones never are."""
+    rng = np.random.default_rng(5)
+    for shared, linked in ((534, False), (552, True)):
+        every = np.unique(rng.integers(0, 1 << 63, 1400, np.int64).astype(np.uint64))
+        x, y = every[:600], np.append(every[600 - shared : 600], every[600 : 1200 - shared])
+        one = np.zeros(1, np.int64)
+        for most in (1 << 62, 2048):
+            differ = jaccard_join.differences([jaccard_join.sketch(x, most)], one, [jaccard_join.sketch(y, most)], one)[0]
+            assert ((1200 - differ) // 2 >= jaccard_join.least_overlap(600, 600, 85, 100)) == linked
+
+
+def test_candidates_are_all_pairs_that_the_bounds_allow():
+    rng = np.random.default_rng(6)
+    group = np.repeat([3, 4, 9], [200, 1, 90])
+    size = np.concatenate([np.sort(rng.integers(1, 400, n)) for n in (200, 1, 90)])
+    place = rng.integers(0, 1 + size // 6)
+    found = {(i, j) for i, j in zip(*(np.concatenate(x) for x in zip(*jaccard_join.candidates(group, size, place, np.ones(291, bool), 85, 100)))) if jaccard_join.allowed(size[i], place[i], size[j], place[j], 85, 100)}
+    i, j = np.triu_indices(291, 1)
+    good = (group[i] == group[j]) & jaccard_join.allowed(size[i], place[i], size[j], place[j], 85, 100)
+    assert found == set(zip(i[good], j[good]))
+
+
+def test_order_counts_shingles_that_repeat_only_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COUNT_BLOCK", 1)
+    docs = table(spark, [(i, "a passage that all hold") for i in range(64)] + [(100, "else")]).repartition(8)
+    levels = jaccard_join.global_order(jaccard_join.describe(docs, 4).where("kind = 1").select("a", "sketch"))
+    assert sorted(levels[levels > 0].tolist()) == [48, 48]
+
+
 def test_components_of_odd_rows(spark):
     rows = [r for r in ODD if r[0] != 2]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(table(spark, rows)).collect()}
