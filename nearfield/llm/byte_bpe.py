@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import documents, most_frequent, staged, text_of
+from nearfield.llm.common import documents, give_back, most_frequent, staged, text_of
 
 HEAD_WORDS = 1 << 18
 #: Pieces up to which a merge is one pass over the word's array; beyond, whole runs are copied.
@@ -214,7 +214,11 @@ class Codec:
         little_endian = [i.to_bytes(4, "little").decode("latin-1") for i in range(width)]
         columns = {name: pa.array([x], pa.list_(pa.int64())) for name, x in self.ranks.lists.items()}
         columns |= {"names": pa.array([names], pa.list_(pa.string())), "little_endian": pa.array([little_endian], pa.list_(pa.string()))}
-        self.arrays = literals(staged(spark.createDataFrame(pa.table(columns)), "bpe-ranks"))
+        self.ranks.lists = {}  # the literals hold them from here on
+        table = staged(spark.createDataFrame(pa.table(columns)), "bpe-ranks")
+        del columns, names, little_endian
+        give_back()
+        self.arrays = literals(table)
         self.cells, self.head = 0, None
 
     def bound(self, body: Callable[[Maps], Column], kind: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
 import numpy as np
@@ -74,6 +76,15 @@ def most_frequent(sums: DataFrame, count: str, size: int) -> DataFrame:
     return sums.where(F.lit(False) if least is None else at >= least)
 
 
+def give_back() -> None:
+    """Hands freed memory of this process back to the system, where its allocator can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Recent(dict):
     """A cache of two bounded generations: what was not asked for since the last turn is made anew."""
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import components, discard, documents, hash_words, mix, most_frequent, pieces_of, staged, text_bytes
+from nearfield.llm.common import components, discard, documents, give_back, hash_words, mix, most_frequent, pieces_of, staged, text_bytes
 
 WORDS, NUMER, DENOM = 4, 85, 100
 #: Bits of a shingle that name its cell in the table of counts, and of those the bits that name the cell's range.
@@ -533,6 +533,7 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, numer: int = NUME
     buckets = max(8, -(-entries // BUCKET_ENTRIES))
     packed = index_entries(docs, levels, heavy, buckets, words, numer, denom)
     del levels
+    give_back()
     found = staged(lists_of(packed, numer, denom), "lists")
     bound = (words, numer, denom)
     entries = found.where("kind = 1")

@@ -12,7 +12,7 @@ without features scores by the bias alone. Without labels (or with one class onl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import documents, hash_words, mix, pieces_of, text_bytes
+from nearfield.llm.common import documents, give_back, hash_words, mix, pieces_of, text_bytes
 
 #: Bits of the hash space of words, and of those of pairs and of skip-pairs.
 WORD_BITS, PAIR_BITS = 21, 20
@@ -93,14 +93,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, most_byte
             packed = [packer.compress(np.diff(r, prepend=0).astype(np.int32).tobytes()) for r in rows_]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "features"])
 
-    unpack = zstandard.ZstdDecompressor()
     place = {x: i for i, x in enumerate(picked)}
     found = [(place[r[0], r[1]], int(r[1] != 0), bytes(r[2])) for r in sample.mapInArrow(extract, "doc_id bigint, toxic int, features binary").toLocalIterator()]
     found.sort()
-    return train([np.frombuffer(unpack.decompress(x), np.int32).cumsum(dtype=np.int32) for _, _, x in found], np.array([float(y) for _, y, _ in found]))
+    model = train(Packed([x for _, _, x in found]), np.array([float(y) for _, y, _ in found]))
+    del found
+    give_back()
+    return model
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, *, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS) -> Model:
+class Packed(Sequence):
+    """The features of each text, held compressed and unpacked whenever they are asked for."""
+
+    def __init__(self, rows: list[bytes]):
+        self.rows, self.unpack = rows, zstandard.ZstdDecompressor()
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return np.frombuffer(self.unpack.decompress(self.rows[i]), np.int32).cumsum(dtype=np.int32)
+
+
+def train(rows: Sequence[np.ndarray], y: np.ndarray, *, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS) -> Model:
     if len(rows) == 0 or y.min() == y.max():
         return Model(np.zeros(0, np.int64), np.zeros(0), None)
     size = SPACE_SIZE

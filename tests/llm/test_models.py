@@ -257,3 +257,12 @@ def test_toxicity_of_odd_rows_and_missing_labels(spark):
     scores = [r["score"] for r in toxicity.score(docs, some).collect()]
     assert len(scores) == len(ODD) and all(0 <= s <= 1 for s in scores)
     assert toxicity.score(table(spark, []), some).count() == 0
+
+
+def test_packed_features_are_unpacked_only_when_asked_for():
+    import zstandard
+
+    rows = [np.array([3, 7, 8], np.int32), np.zeros(0, np.int32)]
+    packed = toxicity.Packed([zstandard.ZstdCompressor().compress(np.diff(r, prepend=0).astype(np.int32).tobytes()) for r in rows])
+    assert [x.tolist() for x in packed] == [[3, 7, 8], []] == [x.tolist() for x in packed] and len(packed) == 2
+    assert all(isinstance(x, bytes) for x in packed.rows)
