@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,10 @@ BUCKET_EVENTS = 1_000_000
 HOT = 0.25
 #: Tokens counted together in a task.
 COUNT_BLOCK = 1 << 22
-PARTS = 64
+#: Bytes of text whose events are packed together.
+PIECE_BYTES = 4 << 20
+#: A bucket's sums of logarithms, none above 0, are handed on in these parts of one (an error below 1e-11 each).
+FIXED = float(1 << 36)
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -171,47 +175,102 @@ def base_parts(rows: DataFrame, head, total: int, types: int) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, "key bigint, whole boolean, w bigint, n bigint, base double, known bigint")
 
 
-def _narrow(n: int) -> type:
-    """The type of numbers below n."""
-    return np.uint16 if n <= 1 << 16 else np.uint32
+def narrowed(x: np.ndarray) -> np.ndarray:
+    """The same numbers, none negative, in the fewest bytes that hold them all."""
+    most = int(x.max(initial=0))
+    return x.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max))
+
+
+def packed_arrays(arrays: list[np.ndarray], packer: zstandard.ZstdCompressor) -> bytes:
+    """Arrays of unsigned numbers as compressed bytes, first bytes before second ones: the upper ones are mostly zero."""
+    head = np.array([[x.itemsize, len(x)] for x in arrays], np.int64).tobytes()
+    return packer.compress(head + b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays))
+
+
+def unpacked_arrays(raw: bytes, n: int, unpacker: zstandard.ZstdDecompressor) -> list[np.ndarray]:
+    """Those n arrays."""
+    raw, at, out = unpacker.decompress(raw), 16 * n, []
+    for size, length in np.frombuffer(raw, np.int64, 2 * n).reshape(n, 2).tolist():
+        cells = np.frombuffer(raw, np.uint8, size * length, at).reshape(size, length)
+        out.append(np.ascontiguousarray(cells.T).view(f"u{size}").ravel())
+        at += size * length
+    return out
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in pieces of about that many bytes of text, also over several batches; keys of a piece are less than 2^31 apart."""
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        for batch in pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None):
+            key = batch.column("key").to_numpy()
+            ends = [0, *(np.flatnonzero(key[1:] >> 31 != key[:-1] >> 31) + 1).tolist(), len(key)]
+            yield from (batch.slice(i, j - i) for i, j in zip(ends, ends[1:]) if j > i)
+
+    held, size = [], 0
+    for batch in batches:
+        for part in pieces_of(batch, most):
+            n = int(text_bytes(part.column("text"))[1][-1])
+            if held and size + n > most:
+                yield from whole()
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield from whole()
+
+
+def as_places(words: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens' places among the sorted words, len(words) for all others, and which these are."""
+    at = np.minimum(np.searchsorted(words, token), max(0, len(words) - 1))
+    hit = words[at] == token if len(words) else np.zeros(len(token), bool)
+    return np.where(hit, at, len(words)).astype(np.uint32), ~hit
+
+
+def from_places(words: np.ndarray, place: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens again, and which are not among the words."""
+    is_rare = place == len(words)
+    token = words[np.minimum(place, max(0, len(words) - 1))] if len(words) else np.zeros(len(place), np.uint64)
+    token[is_rare] = rare
+    return token, is_rare
 
 
 def events(rows: DataFrame, head, hot: np.ndarray, buckets: int) -> DataFrame:
-    """Packed events by bucket: runs of histories, words as places among the frequent ones or hashes, and texts."""
+    """Packed events by bucket and piece of text: runs of histories, words, both as places among the frequent ones or hashes, and texts.
+
+    A text is its key less the piece's least one, twice, and whether it trains; so an event costs the same in any number of buckets.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((head[0], hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hot_words = shared.value
-        for batch in batches:
-            for part in pieces_of(batch, 4 << 20):
-                token, history, doc = tokens_of(part)
-                bucket = mix(history) % np.uint64(buckets)
-                if len(hot_words):
-                    is_hot = hot_words[np.minimum(np.searchsorted(hot_words, history), len(hot_words) - 1)] == history
-                    bucket[is_hot] = mix(history[is_hot] ^ mix(token[is_hot])) % np.uint64(buckets)
-                by = np.lexsort((history, bucket))
-                token, history, doc, bucket = token[by], history[by], doc[by].astype(np.uint32), bucket[by]
-                at = np.minimum(np.searchsorted(words, token), max(0, len(words) - 1))
-                hit = words[at] == token if len(words) else np.zeros(len(token), bool)
-                place = np.where(hit, at, len(words)).astype(np.uint32)
-                edge = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
-                keys, train = part.column("key").to_numpy(), part.column("train").to_numpy(zero_copy_only=False)
-                out: list[list] = [[] for _ in range(7)]
-                full = np.flatnonzero(np.diff(edge))
-                for b in full:
-                    s = slice(edge[b], edge[b + 1])
-                    h, runs = np.unique(history[s], return_counts=True)
-                    here = np.zeros(len(keys), bool)
-                    here[doc[s]] = True  # a bucket gets only the texts that it has events of
-                    local = (np.cumsum(here) - 1)[doc[s]].astype(_narrow(int(here.sum())))
-                    for column, value in zip(out, (h, runs.astype(np.uint32), place[s], token[s][~hit[s]], local, keys[here], train[here])):
-                        column.append(value.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(x, pa.binary()) for x in out)], names=["bucket", "h", "runs", "place", "rare", "doc", "keys", "train"])
-
-    return rows.select("key", "train", "text").mapInArrow(run, "bucket int, h binary, runs binary, place binary, rare binary, doc binary, keys binary, train binary")
-
-
-#: kinds: 0 packed sums of texts (a: part); 1 history (a) with its seen mass by class and P of frequent words seen; 2 text (b) with n unseen
+        packer = zstandard.ZstdCompressor(level=1)
+        for part in gathered(batches, PIECE_BYTES):
+            token, history, doc = tokens_of(part)
+            bucket = mix(history) % np.uint64(buckets)
+            if len(hot_words):
+                is_hot = hot_words[np.minimum(np.searchsorted(hot_words, history), len(hot_words) - 1)] == history
+                bucket[is_hot] = mix(history[is_hot] ^ mix(token[is_hot])) % np.uint64(buckets)
+            by = np.lexsort((history, bucket))
+            keys = part.column("key").to_numpy()
+            base = int(keys.min())
+            text = ((keys - base) * 2 + part.column("train").to_numpy(zero_copy_only=False)).astype(np.uint64)
+            token, history, text, bucket = token[by], history[by], narrowed(text)[doc[by]], bucket[by]
+            place, rare = as_places(words, token)
+            # A run is of one history in one bucket.
+            new = np.flatnonzero(np.append(True, (history[1:] != history[:-1]) | (bucket[1:] != bucket[:-1])))
+            runs, (before, unknown) = np.diff(np.append(new, len(history))), as_places(words, history[new])
+            numbers = np.arange(buckets + 1).astype(np.uint64)
+            edge, edge_run = np.searchsorted(bucket, numbers), np.searchsorted(bucket[new], numbers)
+            full, out = np.flatnonzero(np.diff(edge)), []
+            for b in full:
+                s, r = slice(edge[b], edge[b + 1]), slice(edge_run[b], edge_run[b + 1])
+                out.append(packed_arrays([before[r], history[new[r]][unknown[r]], narrowed(runs[r]), place[s], token[s][rare[s]], text[s]], packer))
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), base)), pa.array(out, pa.binary())], names=["bucket", "base", "events"])
+
+    return rows.select("key", "train", "text").mapInArrow(run, "bucket int, base bigint, events binary")
+
+
+#: kinds: 0 packed sums of texts (a: least key of their piece); 1 history (a) with its seen mass by class and P of frequent words seen; 2 text (b) with n unseen
 #: words after history (a); 3 text (b) with n unseen rare words (a); 4 rare word (b) seen after history (a); 5 pairs (n) seen a times.
 RESULT = "kind int, a bigint, b bigint, n bigint, mass array<bigint>, p double, sums binary"
 
@@ -221,17 +280,16 @@ def counted(packed: DataFrame, head, hot: np.ndarray, hot_counts: np.ndarray, un
 
     def run(table: pa.Table) -> pa.Table:
         (words, word_counts), hot_words, hot_n, model = shared.value
+        packer, unpacker = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        bases = table.column("base").to_numpy()
         hs, ws, keys, trained, is_rare = [], [], [], [], []
-        for row in table.to_pylist():
-            place = np.frombuffer(row["place"], np.uint32)
-            rare = place == len(words)
-            w = words[np.minimum(place, max(0, len(words) - 1))] if len(words) else np.zeros(len(place), np.uint64)
-            w[rare] = np.frombuffer(row["rare"], np.uint64)
-            doc = np.frombuffer(row["doc"], _narrow(len(row["keys"]) // 8))
-            hs.append(np.repeat(np.frombuffer(row["h"], np.uint64), np.frombuffer(row["runs"], np.uint32)))
+        for i, raw in enumerate(table.column("events")):
+            before, unknown, runs, place, rare_words, text = unpacked_arrays(raw.as_py(), 6, unpacker)
+            w, rare = from_places(words, place, rare_words)
+            hs.append(np.repeat(from_places(words, before, unknown)[0], runs))
             ws.append(w)
-            keys.append(np.frombuffer(row["keys"], np.int64)[doc])
-            trained.append(np.frombuffer(row["train"], np.bool_)[doc])
+            keys.append((text >> 1).astype(np.int64) + (i << 32))  # the number of the piece and the place in it
+            trained.append((text & 1).astype(bool))
             is_rare.append(rare)
         h, w, key, train, rare = map(np.concatenate, (hs, ws, keys, trained, is_rare))
         del hs, ws, keys, trained, is_rare
@@ -266,7 +324,7 @@ def counted(packed: DataFrame, head, hot: np.ndarray, hot_counts: np.ndarray, un
         texts, inverse = np.unique(key, return_inverse=True)
         total = np.bincount(inverse, logs)
         small = np.stack([np.bincount(inverse[e_c == r], minlength=len(texts)) for r in range(1, LIMIT + 1)], axis=1).astype(np.int32)
-        part = (mix(texts.view(np.uint64)) % np.uint64(PARTS)).astype(np.int64)
+        key_of = lambda k: bases[k >> 32] + (k & 0xFFFFFFFF)
         rows: dict[str, list] = {x: [] for x in ("kind", "a", "b", "n", "mass", "p", "sums")}
 
         def add(kind: int, n: int, a=None, b=None, count=None, mass_=None, p=None, sums=None) -> None:
@@ -275,11 +333,11 @@ def counted(packed: DataFrame, head, hot: np.ndarray, hot_counts: np.ndarray, un
             for name, (value, kind_) in kinds.items():
                 rows[name].append(pa.nulls(n, kind_) if value is None else value if isinstance(value, pa.Array) else pa.array(value, kind_))
 
-        order = np.argsort(part, kind="stable")
-        cut = np.searchsorted(part[order], np.arange(PARTS + 1))
-        filled = np.flatnonzero(np.diff(cut))
-        packed_sums = [texts[o].tobytes() + total[o].tobytes() + small[o].tobytes() for o in (order[cut[i] : cut[i + 1]] for i in filled)]
-        add(0, len(filled), a=filled.astype(np.int64), sums=packed_sums)
+        cut = np.searchsorted(texts, np.arange(len(bases) + 1) << 32)
+        spans = [slice(i, j) for i, j in zip(cut, cut[1:])]
+        fixed = np.rint(-total * FIXED).astype(np.uint64)
+        packed_sums = [packed_arrays([narrowed(np.diff(texts[o], prepend=(i << 32))), narrowed(fixed[o]), narrowed(small[o].T.ravel())], packer) for i, o in enumerate(spans)]
+        add(0, len(bases), a=bases, sums=pa.array(packed_sums, pa.binary()))
         need = ~e_seen & (e_ch > 0)
         g_need = np.zeros(len(g_h), bool)
         g_need[group[pair[need]]] = True
@@ -288,16 +346,16 @@ def counted(packed: DataFrame, head, hot: np.ndarray, hot_counts: np.ndarray, un
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * (LIMIT + 1)), pa.array(mass[k].ravel()))
         add(1, len(k), a=g_h[k].view(np.int64), count=c_h[k], mass_=flat, p=p_seen[k])
         a, b, n = unique_pairs(h[need].view(np.int64), key[need])
-        add(2, len(n), a=a, b=b, count=n)
+        add(2, len(n), a=a, b=key_of(b), count=n)
         lost = ~e_seen & rare
         a, b, n = unique_pairs(w[lost].view(np.int64), key[lost])
-        add(3, len(n), a=a, b=b, count=n)
+        add(3, len(n), a=a, b=key_of(b), count=n)
         tail = seen & p_rare & g_need[group]
         add(4, int(tail.sum()), a=g_h[group[tail]].view(np.int64), b=w[at][tail].view(np.int64))
         # Histories without small counts in this bucket: where that holds in all buckets, their pairs are scaled.
         large = e_seen & (mass[:, :LIMIT].sum(axis=1) == 0)[group][pair]
         a, b, n = unique_pairs(h[large].view(np.int64), key[large])
-        add(6, len(n), a=a, b=b, count=n)
+        add(6, len(n), a=a, b=key_of(b), count=n)
         add(5, LIMIT + 1, a=np.arange(1, LIMIT + 2), count=np.array([(c == r).sum() for r in range(1, LIMIT + 2)]))
         return pa.table({name: pa.chunked_array(value) for name, value in rows.items()})
 
@@ -308,14 +366,13 @@ def text_sums(found: DataFrame, log_d: list[float]) -> DataFrame:
     """(key, sum) of the packed sums, with the discounts of small counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, sums = [], []
-        for raw in table.column("sums").to_pylist():
-            n = len(raw) // (16 + 4 * LIMIT)
-            small = np.frombuffer(raw, np.int32, n * LIMIT, 16 * n).reshape(n, LIMIT)
-            keys.append(np.frombuffer(raw, np.int64, n))
-            sums.append(np.frombuffer(raw, np.float64, n, 8 * n) + small @ np.array(log_d))
+        unpacker, keys, sums = zstandard.ZstdDecompressor(), [], []
+        for raw in table.column("sums"):
+            text, total, small = unpacked_arrays(raw.as_py(), 3, unpacker)
+            keys.append(text.cumsum(dtype=np.int64))
+            sums.append(np.array(log_d) @ small.reshape(LIMIT, len(text)) - total / FIXED)
         key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        return pa.table({"key": key, "sum": np.bincount(inverse, np.concatenate(sums))})
+        return pa.table({"key": table.column("a")[0].as_py() + key, "sum": np.bincount(inverse, np.concatenate(sums))})
 
     return found.where("kind = 0").select("a", "sums").groupBy("a").applyInArrow(run, "key bigint, sum double")
 
@@ -337,7 +394,7 @@ def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     rows = keyed(docs)
-    counts = staged(unigram_counts(rows), "unigrams")
+    counts = staged(unigram_counts(rows), "unigrams", compression="zstd")
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     of_counts = {r[0]: r[1] for r in counts.where(F.col("c") <= LIMIT + 1).groupBy("c").count().collect()}
     unigrams = Unigrams(total, of_counts, total - sum(r * n for r, n in of_counts.items() if r <= LIMIT))
@@ -353,7 +410,7 @@ def score(docs: DataFrame) -> DataFrame:
         F.sum(F.when(is_text, F.col("known")).when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.when(is_text, F.col("base")).otherwise(smoothed * F.col("n"))).alias("base"),
     )
-    base = staged(base, "base-scores")
+    base = staged(base, "base-scores", compression="zstd")
     # Pairs.
     n_events = base.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(4, -(-n_events // BUCKET_EVENTS))
@@ -363,7 +420,7 @@ def score(docs: DataFrame) -> DataFrame:
     hot_counts = np.append(head[1][is_hot], trained)
     by = np.argsort(hot)
     hot, hot_counts = hot[by], hot_counts[by]
-    found = staged(counted(events(rows, head, hot, buckets), head, hot, hot_counts, unigrams), "pairs")
+    found = staged(counted(events(rows, head, hot, buckets), head, hot, hot_counts, unigrams), "pairs", compression="zstd")
     pairs_of = {r[0]: r[1] for r in found.where("kind = 5").groupBy("a").agg(F.sum("n")).collect()}
     d = discounts([pairs_of.get(r, 0) for r in range(1, LIMIT + 2)])
     sums = text_sums(found, [math.log10(x) for x in d])

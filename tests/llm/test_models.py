@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +184,36 @@ def test_katz_matches_plain_version(spark, monkeypatch, head, bucket):
         assert got[i][:4] == x[:4] and got[i][4:] == pytest.approx(x[4:], rel=1e-9)
 
 
+def test_katz_moves_as_much_in_many_buckets(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{int(rng.paretovariate(0.8))}" for _ in range(5000)]
+    docs = table(spark, [(i, " ".join(rng.choices(vocabulary, k=200))) for i in range(2000)]).coalesce(1)
+    rows = katz.keyed(docs)
+    counts = katz.unigram_counts(rows).toPandas()
+    counts["w"] = counts["w"].to_numpy(np.int64).view(np.uint64)
+    counts = counts.sort_values("w")
+    head, hot = (counts["w"].to_numpy(), counts["c"].to_numpy()), np.array([katz.START])
+    model = katz.Unigrams(int(head[1].sum()), dict(Counter(int(c) for c in head[1] if c <= katz.LIMIT)), int(head[1][head[1] > katz.LIMIT].sum()))
+
+    def moved(buckets: int) -> int:
+        packed = katz.staged(katz.events(rows, head, hot, buckets), "events")
+        sums = katz.counted(packed, head, hot, np.array([1700]), model).where("kind = 0").select("sums").collect()
+        binary = [c for c, kind in packed.dtypes if kind == "binary"]
+        return sum(len(x) for r in packed.select(*binary).collect() for x in r) + sum(len(r["sums"]) for r in sums)
+
+    assert moved(200) < 4 * 400_000  # 12.7 bytes an event before, 1.6 now
+
+
+def test_katz_pieces_keep_texts_apart():
+    key = np.array([5, 3, 4, (1 << 31) + 7, (1 << 40) + 1, (1 << 40) + 2])
+    batches = [pa.RecordBatch.from_pydict({"key": key[:2], "text": ["a", None]}), pa.RecordBatch.from_pydict({"key": key[2:], "text": ["b"] * 4})]
+    assert [p.column("key").to_pylist() for p in katz.gathered(iter(batches), 1 << 20)] == [[5, 3, 4], [(1 << 31) + 7], [(1 << 40) + 1, (1 << 40) + 2]]
+    assert [p.column("key").to_pylist() for p in katz.gathered(iter(batches), 1)][-1] == [(1 << 40) + 2]
+    packer, unpacker = katz.zstandard.ZstdCompressor(), katz.zstandard.ZstdDecompressor()
+    arrays = [np.array(x, k) for x, k in (([], "u8"), ([1, 2**31, 7], "u4"), ([2**63, 1], "u8"), ([9], "u1"))]
+    assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(arrays, katz.unpacked_arrays(katz.packed_arrays(arrays, packer), 4, unpacker)))
+
+
 def test_katz_of_repeated_rows_and_nothing(spark):
     twice = katz.score(table(spark, [(1, "a b"), (1, "a b"), (2, "a c"), (None, "a")])).collect()
     assert len(twice) == 4 and len({tuple(r) for r in twice if r["doc_id"] == 1}) == 1
