@@ -217,7 +217,7 @@ class Codec:
         self.ranks.lists = {}  # the literals hold them from here on
         table = staged(spark.createDataFrame(pa.table(columns)), "bpe-ranks")
         del columns, names, little_endian
-        give_back()
+        give_back(spark)
         self.arrays = literals(table)
         self.cells, self.head = 0, None
 

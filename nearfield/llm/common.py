@@ -76,9 +76,13 @@ def most_frequent(sums: DataFrame, count: str, size: int) -> DataFrame:
     return sums.where(F.lit(False) if least is None else at >= least)
 
 
-def give_back() -> None:
-    """Hands freed memory of this process back to the system, where its allocator can."""
-    gc.collect()
+def give_back(spark: SparkSession) -> None:
+    """Hands freed memory of the driver, of this process and of its JVM, back to the system, where they can.
+
+    A JVM keeps what its heap once grew to, up to the limit, until a full collection; between many small queries there is none.
+    """
+    gc.collect()  # first, so that the JVM's objects that only this process named are free
+    spark.sparkContext._jvm.System.gc()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

@@ -491,6 +491,7 @@ def connect(docs: DataFrame, pairs: DataFrame, labels: DataFrame, bound: tuple[i
     """
     pending, answers = staged(pairs, "pending"), docs.sparkSession.createDataFrame([], "a bigint, b bigint, overlap bigint, linked boolean")
     for number in range(rounds + 1):
+        give_back(docs.sparkSession)  # each round broadcasts small tables
         pending = staged(across(pending, labels), "pending")
         chosen = pending
         if number < rounds:
@@ -533,7 +534,7 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, numer: int = NUME
     buckets = max(8, -(-entries // BUCKET_ENTRIES))
     packed = index_entries(docs, levels, heavy, buckets, words, numer, denom)
     del levels
-    give_back()
+    give_back(docs.sparkSession)
     found = staged(lists_of(packed, numer, denom), "lists")
     bound = (words, numer, denom)
     entries = found.where("kind = 1")

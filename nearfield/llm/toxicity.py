@@ -96,9 +96,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, most_byte
     place = {x: i for i, x in enumerate(picked)}
     found = [(place[r[0], r[1]], int(r[1] != 0), bytes(r[2])) for r in sample.mapInArrow(extract, "doc_id bigint, toxic int, features binary").toLocalIterator()]
     found.sort()
+    give_back(docs.sparkSession)  # before the arrays of the fit
     model = train(Packed([x for _, _, x in found]), np.array([float(y) for _, y, _ in found]))
     del found
-    give_back()
+    give_back(docs.sparkSession)
     return model
 
 

@@ -66,3 +66,30 @@ def test_run_and_names(spark, tmp_path):
 
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_stages_hand_the_drivers_memory_back(spark, tmp_path, monkeypatch):
+    corpus(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def collections() -> int:
+        beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+
+    def freed(module, stage) -> list[bool]:
+        seen, give_back = [], module.give_back
+
+        def watched(*args):
+            before = collections()
+            give_back(*args)
+            seen.append(collections() > before)
+
+        monkeypatch.setattr(module, "give_back", watched)
+        stage(spark, docs, str(tmp_path))
+        return seen
+
+    stages = dict(corpus_pipeline.STAGES)
+    # The JVM's too: before the model is fitted and after, and in every round of comparisons.
+    assert freed(corpus_pipeline.toxicity, stages["toxicity"]) == [True] * 2
+    near = freed(corpus_pipeline.jaccard_join, stages["n-gram Jaccard join"])
+    assert len(near) > 4 and all(near)
