@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -76,12 +77,33 @@ def most_frequent(sums: DataFrame, count: str, size: int) -> DataFrame:
     return sums.where(F.lit(False) if least is None else at >= least)
 
 
+#: Per cent of the driver's heap that may stay free after a full collection, at least and at most; Java's own are 40 and 70.
+FREE_HEAP = {"MinHeapFreeRatio": "10", "MaxHeapFreeRatio": "20"}
+
+
+def lean_heap(spark: SparkSession) -> None:
+    """Lets a full collection of the driver's JVM hand back all of the heap but FREE_HEAP; a JVM without these options stays as it is."""
+    context = spark.sparkContext
+    java = context._jvm.java.lang
+    try:
+        kind = java.Class.forName("com.sun.management.HotSpotDiagnosticMXBean")
+        options = java.management.ManagementFactory.getPlatformMXBean(kind)
+        put = next(m for m in kind.getMethods() if m.getName() == "setVMOption")
+        for name, value in FREE_HEAP.items():
+            both = context._gateway.new_array(java.Object, 2)
+            both[0], both[1] = name, value
+            put.invoke(options, both)  # the bean's own class is not open to other modules
+    except Py4JJavaError:
+        pass
+
+
 def give_back(spark: SparkSession) -> None:
     """Hands freed memory of the driver, of this process and of its JVM, back to the system, where they can.
 
     A JVM keeps what its heap once grew to, up to the limit, until a full collection; between many small queries there is none.
     """
     gc.collect()  # first, so that the JVM's objects that only this process named are free
+    lean_heap(spark)
     spark.sparkContext._jvm.System.gc()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -117,6 +117,18 @@ def test_connected_components(spark):
     assert got == {**dict.fromkeys(range(100, 141), 100), 3: 3, 7: 3}
 
 
+def test_a_grown_heap_goes_back(spark):
+    jvm, kept = spark._jvm, spark._jvm.java.util.ArrayDeque()
+    for _ in range(300):
+        kept.add(jvm.java.lang.StringBuilder(1 << 20))
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    grown = runtime.totalMemory()
+    kept.clear()
+    common.give_back(spark)
+    total, free = runtime.totalMemory(), runtime.freeMemory()
+    assert total < grown and free < 0.4 * total  # Java's own bound is 70 per cent
+
+
 def test_word_hashes_are_those_of_whole_words(monkeypatch):
     monkeypatch.setattr(common, "BLOCK", 64)
     texts = ["a bb  ccc", "", "A BB\tccc\n", "x" * 300 + " y", "é bb", "  ", "bb" * 40 + " " * 100 + "a"]
