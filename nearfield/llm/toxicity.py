@@ -94,6 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, most_byte
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "features"])
 
     place = {x: i for i, x in enumerate(picked)}
+    give_back(docs.sparkSession)  # what ran before may have left a grown heap
     found = [(place[r[0], r[1]], int(r[1] != 0), bytes(r[2])) for r in sample.mapInArrow(extract, "doc_id bigint, toxic int, features binary").toLocalIterator()]
     found.sort()
     give_back(docs.sparkSession)  # before the arrays of the fit
