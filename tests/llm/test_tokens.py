@@ -164,6 +164,16 @@ def test_other_tokenizers_get_whole_texts(word_bpe):
     assert token_store.Encoder(word_bpe).by_word and not encoder.by_word
 
 
+def test_words_of_letters_need_no_pattern(word_bpe, monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, odd = Tokenizer.from_str(word_bpe), ["don't 'LL 'x ''s I'm2 a1b22", "é'RE ×÷ ÀÖß \x7f a\x01b", "<|x|> naïve,Ünder ªµº"]
+    want = lambda x: [*t.encode(x, add_special_tokens=False).ids, 2]
+    assert [x.tolist() for x in token_store.Encoder(word_bpe).encode([x.encode() for x in odd], 2)] == [want(x) for x in odd]
+    monkeypatch.setattr(token_store, "_PIECES", None)
+    assert token_store.Encoder(word_bpe).encode([b"Plain Words of letters"], 2)[0].tolist() == want("Plain Words of letters")
+
+
 def test_store_of_nothing(spark, tmp_path, word_bpe):
     token_store.write_store(table(spark, []), str(tmp_path / "s"), word_bpe, 2)
     assert token_store.read_summaries(spark, str(tmp_path / "s")).count() == 0
