@@ -16,13 +16,12 @@ A null or empty text has no ids.
 from __future__ import annotations
 
 import base64
-import itertools
-import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +31,8 @@ from nearfield.llm.common import documents, give_back, most_frequent, staged, te
 HEAD_WORDS = 1 << 18
 #: Pieces up to which a merge is one pass over the word's array; beyond, whole runs are copied.
 SHORT_WORD = 48
+#: Cells among which a row's first fit is looked for at once.
+TRIED = 1 << 12
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -88,8 +89,31 @@ def literals(row: DataFrame) -> dict[str, Column]:
     return made
 
 
-def primes_from(n: int) -> Iterator[int]:
-    return (x for x in itertools.count(max(2, n)) if all(x % p for p in range(2, math.isqrt(x) + 1)))
+def interleaved(rows: dict[int, list[int]]) -> tuple[dict[int, int], int]:
+    """A shift for each row of sorted columns, so that no two rows share a cell (column + shift), and the number of cells.
+
+    Longest rows first, each at the first fit behind the last row of its length.
+    """
+    taken, end, shifts, length, begin = np.zeros(1 << 16, bool), 0, {}, 0, 0
+    for row, columns in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        cols = np.array(columns) - columns[0]
+        if len(taken) <= end + int(cols[-1]):
+            taken = np.concatenate([taken, np.zeros(len(taken) + int(cols[-1]) + 1, bool)])
+        first, begin, length = end, begin if len(columns) == length else 0, len(columns)
+        for at in range(begin, end, TRIED):
+            tried = at + np.flatnonzero(~taken[at : min(end, at + TRIED)])
+            for c in cols[1:]:
+                tried = tried[~taken[tried + c]]
+                if not len(tried):
+                    break
+            if len(tried):
+                first = int(tried[0])
+                break
+        begin = first
+        taken[first + cols] = True
+        end = max(end, first + int(cols[-1]) + 1)
+        shifts[row] = first - columns[0]
+    return shifts, end
 
 
 @dataclass(frozen=True)
@@ -97,7 +121,7 @@ class Maps:
     """The bound arrays of a RankMap."""
 
     shifts: Column
-    keys: Column
+    firsts: Column
     ranks: Column
     start: Column
     last: Column
@@ -106,8 +130,8 @@ class Maps:
 class RankMap:
     """The rank of each pair of pieces, as flat arrays, and the folds over them.
 
-    A pair (a, b) of piece ids is the number a * width + b. Its bucket is that modulo one prime; the bucket's shift, added
-    to the number modulo another, is the pair's cell (a perfect hash), which holds the pair and its rank.
+    A pair (a, b) of piece ids lies in the cell b + the shift of a. The rows of all a are shifted so that no two pairs share
+    a cell (a perfect hash), and the cell holds a and the pair's rank: two reads and a comparison, without a modulo.
 
     A word in the fold is one array<bigint>: for each piece, from the highest bits down, the rank of its pair with the next
     piece (`none` where there is none), the place of its first byte, and its id. So the least element is the leftmost pair
@@ -118,36 +142,30 @@ class RankMap:
         self.width = max(ranks.values(), default=-1) + 1
         self.bits = (self.width + 1).bit_length()
         self.none, self.top = (1 << self.bits) - 1, 63 - self.bits
-        pairs = [(a * self.width + b, rank) for piece, rank in ranks.items() for a, b in cuts(piece, ranks)]
-        self.cells = next(primes_from(len(pairs) * 4 // 3 + 2))
-        self.buckets = next(p for p in primes_from(max(len(pairs) // 4, self.width**2 // self.cells) + 2) if p != self.cells)
-        held: dict[int, list[tuple[int, int]]] = {}
-        for key, rank in pairs:
-            held.setdefault(key % self.buckets, []).append((key, rank))
-        shifts, keys, found = [0] * self.buckets, [-1] * self.cells, [self.none] * self.cells
-        for bucket, entries in sorted(held.items(), key=lambda x: (-len(x[1]), x[0])):
-            shift = next(s for s in range(self.cells) if all(keys[(key + s) % self.cells] < 0 for key, _ in entries))
-            shifts[bucket] = shift
-            for key, rank in entries:
-                at = (key + shift) % self.cells
-                keys[at], found[at] = key, rank
+        held: dict[int, dict[int, int]] = {}
+        for piece, rank in ranks.items():
+            for a, b in cuts(piece, ranks):
+                held.setdefault(a, {})[b] = rank
+        places, cells = interleaved({a: sorted(row) for a, row in held.items()})
+        firsts, found = [-1] * cells, [self.none] * cells
+        for a, row in held.items():
+            for b, rank in row.items():
+                firsts[places[a] + b], found[places[a] + b] = a, rank
+        shifts = [places.get(a, 0) for a in range(self.width)]
         single = [ranks.get(bytes([i])) for i in range(256)]
         rank_of = lambda a, b: ranks.get(bytes([a, b]), self.none)
         start = [None if single[a] is None else (rank_of(a, b) << self.top) + single[a] for a in range(256) for b in range(256)]
         last = [None if x is None else (self.none << self.top) + x for x in single]
-        self.lists = {"shifts": shifts, "keys": keys, "ranks": [r << self.top for r in found], "start": start, "last": last}
+        self.lists = {"shifts": shifts, "firsts": firsts, "ranks": [r << self.top for r in found], "start": start, "last": last}
 
     def rank(self, maps: Maps, a: Column, b: Column) -> Column:
         """The rank of a pair in its place in an element; `none` also where b is null."""
 
-        def find(key: Column) -> Column:
-            at = ((key + F.get(maps.shifts, (key % self.buckets).cast("int"))) % self.cells).cast("int")
-            return F.when(F.get(maps.keys, at) == key, F.get(maps.ranks, at)).otherwise(big(self.none << self.top))
-
-        return let(a * big(self.width) + b, find, "bigint")
+        at = F.get(maps.shifts, a) + b
+        return F.when(F.get(maps.firsts, at) == a, F.get(maps.ranks, at)).otherwise(big(self.none << self.top))
 
     def id(self, element: Column) -> Column:
-        return element.bitwiseAND(big(self.none))
+        return element.bitwiseAND(big(self.none)).cast("int")
 
     def ids(self, maps: Maps, word: Column) -> Column:
         """The ids of one word by the fold of ranked merges."""
@@ -160,24 +178,28 @@ class RankMap:
                 merge = lambda m: F.when(F.size(s) <= SHORT_WORD, self._in_one_pass(maps, s, m)).otherwise(self._spliced(maps, s, m))
                 return let(F.array_min(s), lambda m: F.when(m >= big(self.none << self.top), s).otherwise(merge(m)), "array<bigint>")
 
-            return F.aggregate(F.slice(start, 2, F.size(start)), start, lambda s, _: step(s), lambda s: F.transform(s, lambda x: self.id(x).cast("int")))
+            return F.aggregate(F.slice(start, 2, F.size(start)), start, lambda s, _: step(s), lambda s: F.transform(s, lambda x: self.id(x)))
 
         return let(first, fold, "array<int>")
 
     def _merged(self, maps: Maps, least: Column, after: Column) -> Column:
         """The element of the merged piece, before the piece after it."""
         new = F.shiftright(least, self.top)
-        return self.rank(maps, new, self.id(after)) + least.bitwiseAND(big((1 << self.top) - 1 - self.none)) + new
+        return self.rank(maps, new.cast("int"), self.id(after)) + least.bitwiseAND(big((1 << self.top) - 1 - self.none)) + new
 
     def _before(self, maps: Maps, least: Column, element: Column) -> Column:
         """The element of the piece before the merged one."""
-        return self.rank(maps, self.id(element), F.shiftright(least, self.top)) + element.bitwiseAND(big((1 << self.top) - 1))
+        return self.rank(maps, self.id(element), F.shiftright(least, self.top).cast("int")) + element.bitwiseAND(big((1 << self.top) - 1))
 
     def _in_one_pass(self, maps: Maps, s: Column, least: Column) -> Column:
-        """One merge of a short word: its piece, the one before and the one swallowed, found by the least element."""
+        """One merge of a short word: its piece, the one before and the one swallowed, found by the least element's place in the array."""
         gone = big(-1)
-        new = F.transform(s, lambda x, i: F.when(x == least, self._merged(maps, least, F.get(s, i + 2))).when(F.get(s, i + 1) == least, self._before(maps, least, x)).when(F.get(s, i - 1) == least, gone).otherwise(x))
-        return F.array_remove(new, gone)
+
+        def change(after: Column) -> Column:
+            new = F.transform(s, lambda x, i: F.when(i > after, x).when(i == after, gone).when(x == least, self._merged(maps, least, F.get(s, after + 1))).when(i == after - 2, self._before(maps, least, x)).otherwise(x))
+            return F.array_remove(new, gone)
+
+        return let(F.array_position(s, least).cast("int"), change, "array<bigint>")
 
     def _spliced(self, maps: Maps, s: Column, least: Column) -> Column:
         """One merge of a long word, by copies of whole runs."""
@@ -212,7 +234,7 @@ class Codec:
         for k, v in ranks.items():
             names[v] = k.decode("latin-1")
         little_endian = [i.to_bytes(4, "little").decode("latin-1") for i in range(width)]
-        columns = {name: pa.array([x], pa.list_(pa.int64())) for name, x in self.ranks.lists.items()}
+        columns = {name: pa.array([x], pa.list_(pa.int32() if name in ("shifts", "firsts") else pa.int64())) for name, x in self.ranks.lists.items()}
         columns |= {"names": pa.array([names], pa.list_(pa.string())), "little_endian": pa.array([little_endian], pa.list_(pa.string()))}
         self.ranks.lists = {}  # the literals hold them from here on
         table = staged(spark.createDataFrame(pa.table(columns)), "bpe-ranks")
@@ -244,7 +266,7 @@ class Codec:
         taken = first.unionAll(left.join(first.select("cell"), "cell", "left_anti"))
         every = self.spark.range(self.cells).select(F.col("id").cast("int").alias("cell")).join(taken, "cell", "left")
         listed = every.agg(F.sort_array(F.collect_list(F.struct("cell", "x"))).alias("all"))
-        self.head = literals(staged(listed.select(F.col("all.x.word").alias("words"), F.col("all.x.ids").alias("ids")), "bpe-cells"))
+        self.head = literals(staged(listed.select(F.col("all.x").alias("cells")), "bpe-cells"))["cells"]
 
     def _cell(self, word: Column, choice: int) -> Column:
         """The place of a word in the head's arrays, by its first or second choice."""
@@ -258,12 +280,12 @@ class Codec:
             if self.head is None:
                 return F.transform(words, lambda w: self.ranks.ids(maps, w))
 
-            def known(keys: Column, values: Column, w: Column) -> Column:
-                first, second = self._cell(w, 0), self._cell(w, 1)
-                found = F.when(F.get(keys, first) == w, F.get(values, first)).when(F.get(keys, second) == w, F.get(values, second))
+            def known(cells: Column, w: Column) -> Column:
+                first, second = F.get(cells, self._cell(w, 0)), F.get(cells, self._cell(w, 1))
+                found = F.when(first["word"] == w, first["ids"]).when(second["word"] == w, second["ids"])
                 return found.otherwise(self.ranks.ids(maps, w))
 
-            return lets([self.head["words"], self.head["ids"]], lambda k, v: F.transform(words, lambda w: known(k, v, w)), kind)
+            return let(self.head, lambda cells: F.transform(words, lambda w: known(cells, w)), kind)
 
         return F.flatten(self.bound(each, kind))
 

@@ -105,6 +105,25 @@ def test_merge_order_of_a_small_rank_table(spark):
     assert base64.b64encode(b"ab") == b"YWI="
 
 
+def test_pairs_lie_in_cells_of_their_own(ranks):
+    for table in (ranks, {}, {b"a": 0}, {bytes([i]): i for i in range(256)} | {b"aa": 256, b"aaa": 257, b"\xff\xff": 258}):
+        pairs = {(a, b): rank for piece, rank in table.items() for a, b in byte_bpe.cuts(piece, table)}
+        made = byte_bpe.RankMap(table)
+        cell = {(a, b): made.lists["shifts"][a] + b for a, b in pairs}
+        assert len(set(cell.values())) == len(pairs) and all(x >= 0 for x in cell.values())
+        assert all(made.lists["firsts"][at] == a and made.lists["ranks"][at] >> made.top == pairs[a, b] for (a, b), at in cell.items())
+        assert sum(x >= 0 for x in made.lists["firsts"]) == len(pairs)
+    shifts, cells = byte_bpe.interleaved({5: [0, 3], 6: [2], 7: [0, 1, 3], 8: [40_000]})
+    assert shifts == {7: 0, 5: 2, 6: 2, 8: 4 - 40_000 + 2} and cells == 7
+
+
+def test_a_merge_divides_nothing_and_reads_a_head_word_in_one_place(spark, ranks):
+    out, codec = byte_bpe.encode_documents(table(spark, [(1, "one two")]), ranks, public_tokenizers.PATTERN, head_words=8)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(" in plan and " % " not in plan
+    assert codec.head._jc.toString().count("UnsafeArrayData") == 1
+
+
 @pytest.fixture(scope="module")
 def word_bpe():
     with open(public_tokenizers.path("word_bpe_49k.json")) as f:
